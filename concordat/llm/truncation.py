@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame
 
 from concordat.runtime import cut_lineage, sql_over
 
-#: Signs after which a sentence, list item or text counts as closed.
-CLOSERS = r"[.?!;∎)\]}”»]"
 #: A text that ends in one of these was cut and says so, or ends on a separator or an opened bracket.
 MARKED = r"(…|\\.{3,}|[\\p{L}\\p{N}]-|[,:;(\\[{]|\\[(cut|truncated|\\.\\.\\.)\\]|\\((truncated|cut)\\))$"
 
@@ -31,29 +29,31 @@ def texts_of(responses: DataFrame) -> DataFrame:
     ).selectExpr("response_id", "channel", "t.field_name", "t.pos", "t.text").where("trim(text) <> ''")
 
 
-_UNITS = r"""
+# Words of every sentence: numbers are one word, marks at the ends of words are dropped.
+_SENTENCES = r"""
 select response_id, channel, field_name, pos, text,
-       transform(
-         filter(split(regexp_replace(rtrim(text), '(?<=[?!;∎]|(?<![0-9])\\.|[0-9]\\.(?=\\s))\\s+', '\n'), '\n+'), s -> s rlike '\\S'),
-         s -> filter(split(trim(regexp_replace(regexp_replace(s, '[0-9]+([.,][0-9]*)*', '#'), '^\\s*[-*•]\\s+', '')), '\\s+'), w -> w <> '')) as units,
-       rtrim(text) rlike '[.?!∎)\\]}”»"]$' and not rtrim(text) rlike '[0-9]\\.$' and not rtrim(text) rlike '(\\.\\.\\.|\\[[^\\]]*\\.\\.\\.\\]|\\[(cut|truncated)\\]|\\((cut|truncated)\\))$' as closed
+       rtrim(text) rlike '[.?!∎)\\]}”»"]$' and not rtrim(text) rlike '([0-9]\\.|\\.\\.\\.|\\[[^\\]]*\\.\\.\\.\\]|\\[(cut|truncated)\\]|\\((cut|truncated)\\))$' as closed
 from @texts
 """
 
+_UNITS = r"""
+filter(split(regexp_replace(rtrim(text), '(?<=[?!;∎]|(?<![0-9])\\.|[0-9]\\.(?=\\s))\\s+', '\n'), '\n+'), s -> s <> '')
+"""
+
 _WORDS = r"""
-select response_id, channel, field_name, pos, text, closed,
-       transform(units, u -> transform(u, w -> regexp_replace(if(length(w) = 1, w, lower(w)), '(?<=.)[.,;:?!…]+$', ''))) as units
-from @units
+filter(split(regexp_replace(regexp_replace(UNIT, '[0-9]+([.,][0-9]*)*', '#'), '^\\s*[-*•]\\s+|[.,;:?!…]+(?=\\s|$)', ''), '\\s+'), w -> w <> '')
 """
 
-# One row per word: its opening (second and first word of the sentence), the trigram that ends with it, and whether
-# a word follows, or the sentence ends closed, or the whole text ends open on it.
+# One entry per word: its opening (second and first word of the sentence), the trigram that ends with it, and
+# whether a word follows, or the sentence ends closed, or the whole text ends open on it.
 _GRAMS = r"""
-select if(size(u) > 1, u[1], '') as o, u[0] as f,
-       if(i > 1, u[i - 2], '^') as a, if(i > 0, u[i - 1], '^') as b, u[i] as w,
-       if(i < size(u) - 1, 0, if(k < n - 1 or closed, 1, 2)) as place
-from (select closed, n, k, u, explode(sequence(0, size(u) - 1)) as i
-      from (select closed, size(units) as n, posexplode(units) as (k, u) from @words) where size(u) > 0)
+select inline(transform(u, (w, i) -> named_struct(
+         'o', if(size(u) > 1, u[1], ''), 'f', u[0],
+         'a', if(i > 1, u[i - 2], '^'), 'b', if(i > 0, u[i - 1], '^'), 'w', w,
+         'place', if(i < size(u) - 1, 0, if(k < n - 1 or closed, 1, 2)))))
+from (select closed, n, k, WORDS as u
+      from (select closed, size(units) as n, posexplode(units) as (k, s) from (select closed, UNITS as units from @sentences)))
+where size(u) > 0
 """
 
 _TYPES = """
@@ -61,12 +61,15 @@ select o, f, a, b, w, count_if(place = 0) as inside, count_if(place = 1) as clos
 from @grams group by o, f, a, b, w
 """
 
+# Texts with a closing mark are whole; only the others are split, and only their last sentence is read.
+_OPEN = "select * from @sentences where not closed"
+
 _TAILS = r"""
 select response_id, channel, field_name, pos, length(text) as len, rtrim(text) rlike '{marked}' as marked, rtrim(text) rlike '[.?!]$' as stopped,
        coalesce(text rlike '\n|;\\s' and not text rlike '[.?!]\\s', false) as listed,
        if(size(u) > 1, u[1], '') as o, u[0] as f,
        if(size(u) > 2, u[size(u) - 3], '^') as a, if(size(u) > 1, u[size(u) - 2], '^') as b, u[size(u) - 1] as w
-from (select *, element_at(units, -1) as u from @words where not closed and size(units) > 0) where size(u) > 0
+from (select *, WORDS as u from (select *, coalesce(element_at(UNITS, -1), '') as s from @open)) where size(u) > 0
 """
 
 #: Single letters, the symbols of formulas, count as one word at the last level.
@@ -146,9 +149,10 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     repeated rows give repeated findings, an empty table gives no rows.
     """
     limits_of = {"support": min_support, "share": max_end_share}
-    words = sql_over(_WORDS, units=sql_over(_UNITS, texts=texts_of(responses)))
-    types = cut_lineage(sql_over(_TYPES, grams=sql_over(_GRAMS, words=words)))
-    tails = cut_lineage(sql_over(_TAILS.replace("{marked}", MARKED), words=words))
+    words_of = lambda query: query.replace("WORDS", _WORDS.replace("UNIT", "s")).replace("UNITS", _UNITS)
+    sentences = sql_over(_SENTENCES, texts=texts_of(responses))
+    types = cut_lineage(sql_over(_TYPES, grams=sql_over(words_of(_GRAMS), sentences=sentences)))
+    tails = cut_lineage(sql_over(words_of(_TAILS.replace("{marked}", MARKED)), open=sql_over(_OPEN, sentences=sentences)))
     judging = re.sub(r"MASK\((\w)\)", _MASK, re.sub(r"NEVER_ENDS\((\w+)\)", _NEVER_ENDS, _JUDGED))
     judged = sql_over(judging, limits_of, types=types, tails=tails)
     reasons = sql_over(_REASONS, tails=tails, judged=judged)
