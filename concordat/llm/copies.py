@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +23,18 @@ def canonical_text(text: Column) -> Column:
     Whitespace, punctuation, control and format characters go; two numbers that
     only such characters part stay two numbers.
     """
-    steps = [
+    low = F.lower(text)
+    numbers = low
+    for pattern, by in (
         (r"(?<![\p{L}\p{N}])[-‐-―−](?=\.?\p{Nd})", MINUS),
         (r"(?<![\p{L}\p{N}])\+(?=\.?\p{Nd})", PLUS),
         (r"(?<=\p{Nd})\.(?=\p{Nd})|(?<![\p{L}\p{N}.])\.(?=\p{Nd})", POINT),
         (r"(?<=\p{Nd})[\p{P}\p{Z}\s\p{Cf}]+(?=\p{Nd})", GAP),
-        (r"[\p{P}\p{Z}\s\p{Cf}\u0000\u0005-\u001f\u007f-\u009f]+", ""),
-    ]
-    out = F.lower(text)
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    ):
+        numbers = F.regexp_replace(numbers, pattern, by)
+    # most strings hold no number, and all but a few characters of the rest are plain
+    signed = F.when(low.rlike(r"\p{Nd}"), numbers).otherwise(low)
+    return F.regexp_replace(signed, r"[\p{P}\p{Z}\s\p{Cf}\u0000\u0005-\u001f\u007f-\u009f]+", "")
 
 
 def canonical_json(column: str) -> Column:
@@ -97,13 +98,13 @@ def copy_groups(records: DataFrame, columns: Sequence[str], row_id: str) -> Data
     once. A group that goes on over a partition's edge is one run in each; the first
     and last run of every partition, two rows each, are then joined by their keys.
     """
-    ranged = (
-        records.select(canonical_record(columns).alias("key"), F.col(row_id).cast("long").alias("id"))
-        .repartitionByRange("key", "id")
-        .sortWithinPartitions("key", "id")
-    )
+    keyed = records.select(canonical_record(columns).alias("key"), F.col(row_id).cast("long").alias("id"))
+    # drawing the ranges and moving the records both read the keys; a lost part is made again from the records
+    keyed = keyed.persist(StorageLevel.DISK_ONLY)
+    ranged = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     # written once: the ranges come from a sample, and drawing them anew would move the edges
     runs = cut_lineage(ranged.mapInArrow(_scan_runs, "part int, id long, run_first long, edge string"))
+    keyed.unpersist()
     edges = runs.where("id is null").select("part", "run_first", "edge").distinct()
     firsts = edges.groupBy("edge").agg(F.min("run_first").alias("group_first"))
     moved = edges.join(firsts, "edge").where("group_first <> run_first").select("part", "run_first", "group_first")
