@@ -44,6 +44,7 @@ def draw_mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, total_
     source and partition, a few rows each, give every partition its start, so a
     source of any size spreads over all tasks.
     """
+    documents = documents.select("doc_id", "source", "n_tokens")
     plan = mixture_plan(documents, targets, total_tokens).select("source", "copies")
     n_sources = plan.count()
     wanted = documents.where("n_tokens > 0").join(broadcast_if_small(plan, n_sources, 64), "source")

@@ -142,4 +142,20 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+_LABELS = "l0 as (select id, id as l from r)"
+for _k in range(4):
+    _LABELS += f""",
+a{_k} as (select r.id, r.rid, r.q, r.g, least(l, case when rid is null then l else min(l) over (partition by rid) end) as l from r join l{_k} using (id)),
+l{_k + 1} as (select id, least(l, case when q is null then l else min(l) over (partition by q, g) end) as l from a{_k})"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""with r as (select response_id as id, nullif(trim(lower(request_id)), '') as rid, question_id as q, generated_at as g from response), {_LABELS},
+c as (select x.*, l, count(*) over (partition by l) as n, min(x.response_id) over (partition by l) as first_id, coalesce(t.trust_order, 1000) as trust,
+  regexp_replace(lower(model_name), '[^\\p{{L}}\\p{{N}}]', '', 'g') in (select regexp_replace(lower(model_name), '[^\\p{{L}}\\p{{N}}]', '', 'g') from model_price) as known
+  from response x join l4 on x.response_id = l4.id left join ingest_channel t on x.channel = t.channel),
+u as (select l, first_id, 'confidence' as field_name, response_id, trust, received_at from c where n > 1 and confidence between 0 and 1
+  union all select l, first_id, 'classification_confidence', response_id, trust, received_at from c where n > 1 and classification_confidence between 0 and 1
+  union all select l, first_id, 'model_name', response_id, trust, received_at from c where n > 1 and known)
+select first_id as first_response_id, field_name, response_id as kept_response_id from
+  (select *, row_number() over (partition by l, field_name order by trust, received_at desc nulls last, response_id) as k from u) where k = 1""",
+}
