@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from concordat.plans import records
+from concordat.plans import live, records, search, statistics, structures, voting
 
-FLAGSHIP = "p5_found"
-_MODULES = [records]
+FLAGSHIP = "srt_04_knn"
+_MODULES = [search, voting, statistics, structures, live, records]
 try:
     from importlib import import_module
 
