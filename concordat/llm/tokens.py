@@ -26,66 +26,69 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 class PerfectHash:
     """Minimal perfect hash: every key of a fixed set gets its own slot of as many slots as keys.
 
     Keys fall into small buckets; each bucket, the largest first, takes the first
-    displacement that puts all its keys on free slots. ``slots`` answers for any
-    string, so the caller compares the key that stands there.
+    displacement that puts all its keys on free slots: a number of strides, a second
+    hash of each key, and a shift common to all. ``slots`` answers for any string,
+    so the caller compares the key that stands there.
     """
 
     def __init__(self, keys: list[bytes], per_bucket: int = 4):
+        for self.seed in range(64):  # few keys may need another hash
+            try:
+                self._build(keys, per_bucket)
+                return
+            except ValueError:
+                continue
+        raise ValueError("no perfect hash found for these keys")
+
+    def _build(self, keys: list[bytes], per_bucket: int) -> None:
         self.n = max(len(keys), 1)
         self.buckets = max(self.n // per_bucket, 1)
-        bucket, base = self._places(keys)
-        self.shift = np.zeros(self.buckets, np.int64)
+        bucket, base, stride = self._places(keys)
+        self.strides, self.shift = np.zeros(self.buckets, np.int64), np.zeros(self.buckets, np.int64)
         taken = np.zeros(self.n, bool)
         members = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=self.buckets))[:-1])
-        order = sorted(range(self.buckets), key=lambda b: -len(members[b]))
-        single = [b for b in order if len(members[b]) == 1]
-        for b in order[: len(order) - len(single) - sum(len(m) == 0 for m in members)]:
-            self._place(b, base[members[b]], taken)
-        free = np.flatnonzero(~taken)
-        for b, slot in zip(single, free, strict=True):
+        for b in sorted(range(self.buckets), key=lambda b: -len(members[b])):
+            at = members[b]
+            if len(at) > 1:
+                self._place(b, base[at], stride[at], taken)
+        single = [b for b in range(self.buckets) if len(members[b]) == 1]
+        for b, slot in zip(single, np.flatnonzero(~taken), strict=True):
             self.shift[b] = (slot - base[members[b][0]]) % self.n
         self.order = np.zeros(self.n, np.int64)
         if keys:
             self.order[self.slots(keys)] = np.arange(len(keys))
 
-    def _places(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+    def _places(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = np.fromiter((xxhash.xxh64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys))
         with np.errstate(over="ignore"):
-            a, b = (h * _MIX[0]) >> np.uint64(20), (h * _MIX[1]) >> np.uint64(16)
-        return (a % np.uint64(self.buckets)).astype(np.int64), (b % np.uint64(self.n)).astype(np.int64)
-
-    def _place(self, b: int, base: np.ndarray, taken: np.ndarray) -> None:
-        if len(np.unique(base)) < len(base):
-            raise ValueError("two keys of one bucket share their base slot; choose other buckets")
-        for start in range(0, self.n, 4096):
-            steps = np.arange(start, min(start + 4096, self.n))
-            hits = taken[(base[:, None] + steps[None]) % self.n].any(0)
-            if not hits.all():
-                step = int(steps[int(np.argmin(hits))])
-                self.shift[b] = step
-                taken[(base + step) % self.n] = True
-                return
-        raise ValueError("no free displacement; choose other buckets")
+            a, b, c = ((h * m) >> np.uint64(20) for m in _MIX)
+        n = np.uint64(self.n)
+        return (a % np.uint64(self.buckets)).astype(np.int64), (b % n).astype(np.int64), (c % n).astype(np.int64)
+
+    def _place(self, b: int, base: np.ndarray, stride: np.ndarray, taken: np.ndarray) -> None:
+        for strides in range(100):
+            start = (base + strides * stride) % self.n
+            if len(np.unique(start)) < len(start):
+                continue
+            for low in range(0, self.n, 4096):
+                shifts = np.arange(low, min(low + 4096, self.n))
+                hits = taken[(start[:, None] + shifts[None]) % self.n].any(0)
+                if not hits.all():
+                    self.strides[b], self.shift[b] = strides, int(shifts[int(np.argmin(hits))])
+                    taken[(start + self.shift[b]) % self.n] = True
+                    return
+        raise ValueError("keys of one bucket have equal hashes")
 
     def slots(self, keys: list[bytes]) -> np.ndarray:
-        bucket, base = self._places(keys)
-        return (base + self.shift[bucket]) % self.n
-
-    @classmethod
-    def build(cls, keys: list[bytes]) -> PerfectHash:
-        for per_bucket in (4, 3, 5, 2):
-            try:
-                return cls(keys, per_bucket)
-            except ValueError:
-                continue
-        raise ValueError("no perfect hash found for these keys")
+        bucket, base, stride = self._places(keys)
+        return (base + self.strides[bucket] * stride + self.shift[bucket]) % self.n
 
 
 class ByteBpe:
@@ -96,7 +99,7 @@ class ByteBpe:
             pairs = [line.split() for line in lines if line.strip()]
         self.words = [base64.b64decode(word) for word, _ in pairs]
         self.ids = np.array([int(rank) for _, rank in pairs], np.int64)
-        self.hash = PerfectHash.build(self.words)
+        self.hash = PerfectHash(self.words)
         self.rank = dict(zip(self.words, self.ids.tolist(), strict=True))
         self.memo: dict[str, tuple[int, ...]] = {}
 

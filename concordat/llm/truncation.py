@@ -81,11 +81,11 @@ with plain as (select a, b, w, sum(inside) as inside, sum(closed) as closed, sum
      masked as (select MASK(a) as a, MASK(b) as b, MASK(w) as w, sum(inside) as inside, sum(closed) as closed, sum(open) as open
                 from plain group by 1, 2, 3),
      follows as (select b, w, sum(inside + closed) as n from plain group by b, w),
-     longer as (select b, p, sum(n) as n from (select b, n, explode(transform(sequence(1, length(w) - 1), i -> left(w, i))) as p
-                                             from follows where length(w) > 1) group by b, p),
+     -- beginnings of words, in the lengths that the last words of open texts have
+     begun as (select b, w, n, filter(LENGTHS, i -> i < length(w)) as cuts from follows),
+     longer as (select b, p, sum(n) as n from (select b, n, explode(transform(cuts, i -> left(w, i))) as p from begun) group by b, p),
      word as (select w, sum(n) as n from follows group by w),
-     longer_word as (select p, sum(n) as n from (select n, explode(transform(sequence(1, length(w) - 1), i -> left(w, i))) as p
-                                             from word where length(w) > 1) group by p),
+     longer_word as (select p, sum(n) as n from longer group by p),
      -- many texts of a field end alike: each kind of tail is judged once
      tail_types as (select o, f, a, b, w, MASK(a) as ma, MASK(b) as mb, MASK(w) as mw from @tails group by o, f, a, b, w)
 select t.o, t.f, t.a, t.b, t.w,
@@ -154,6 +154,8 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     types = cut_lineage(sql_over(_TYPES, grams=sql_over(words_of(_GRAMS), sentences=sentences)))
     tails = cut_lineage(sql_over(words_of(_TAILS.replace("{marked}", MARKED)), open=sql_over(_OPEN, sentences=sentences)))
     judging = re.sub(r"MASK\((\w)\)", _MASK, re.sub(r"NEVER_ENDS\((\w+)\)", _NEVER_ENDS, _JUDGED))
+    lengths = sorted(r["n"] for r in tails.selectExpr("length(w) as n").distinct().collect())  # a few numbers
+    judging = judging.replace("LENGTHS", f"array({', '.join(map(str, lengths or [1]))})")
     judged = sql_over(judging, limits_of, types=types, tails=tails)
     reasons = sql_over(_REASONS, tails=tails, judged=judged)
     limits = sql_over(_LIMITS, {"support": min_support}, reasons=reasons)
