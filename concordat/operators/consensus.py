@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.operators.ordering import ranked
+
 #: Weight of a model that a strategy does not name.
 DEFAULT_WEIGHT = 0.25
 
@@ -38,8 +40,9 @@ def weighted_vote(values: DataFrame, keys: list[str], value: str, weight: str, t
 
 
 def normalised_weights(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Weights of each group scaled to sum to 1."""
-    return weights.withColumn(weight, F.col(weight) / F.nullif(F.sum(weight).over(Window.partitionBy(*keys)), F.lit(0.0)))
+    """Weights of each group scaled to sum to 1; groups with a null key are left out."""
+    totals = weights.groupBy(*keys).agg(F.sum(weight).alias("_total"))
+    return weights.join(totals, keys).withColumn(weight, F.col(weight) / F.nullif("_total", F.lit(0.0))).select(weights.columns)
 
 
 def strategy_weights(models: DataFrame, weights: DataFrame, keys: list[str], strategy: str, model: str) -> DataFrame:
@@ -60,12 +63,16 @@ def red_line(values: DataFrame, keys: list[str], flag: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(flag) == F.lit(False)), F.lit(False)).alias("red_line"))
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows with ``_at``, their place in their group, and ``_n``, its size."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return ranked(rows, keys, [order], "_at").join(sizes, keys)
+
+
 def batches(rows: DataFrame, keys: list[str], order: str, number: int = 8) -> DataFrame:
     """Rows with their ``batch``: contiguous slices of ``size div number`` rows, at least 1, per group."""
-    w = Window.partitionBy(*keys)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / number))
-    return rows.withColumn("batch", F.floor(at / size).cast("int"))
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / number))
+    return _numbered(rows, keys, order).withColumn("batch", F.floor(F.col("_at") / size).cast("int")).select(*rows.columns, "batch")
 
 
 def dispute_batches(rows: DataFrame, keys: list[str], order: str, most: int = 20) -> DataFrame:
@@ -73,12 +80,12 @@ def dispute_batches(rows: DataFrame, keys: list[str], order: str, most: int = 20
 
     Rows beyond ``most`` are kept with status ``unprocessed`` and no batch.
     """
-    w = Window.partitionBy(*keys)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    n = F.count("*").over(w)
+    at, n = F.col("_at"), F.col("_n")
     halves = F.when(at < F.floor(n / 2), 0).otherwise(1)
     batch = F.when(n <= 3, 0).when(n <= 8, halves).when(n <= 15, F.floor(at / F.floor((n + 2) / 3))).otherwise(F.floor(at / 5))
-    return rows.withColumn("status", F.when(at < most, "queued").otherwise("unprocessed")).withColumn("batch", F.when(at < most, batch.cast("int")))
+    queued = F.when(at < most, "queued").otherwise("unprocessed")
+    out = _numbered(rows, keys, order).withColumn("status", queued).withColumn("batch", F.when(at < most, batch.cast("int")))
+    return out.select(*rows.columns, "status", "batch")
 
 
 def first_known(*candidates: Column) -> Column:

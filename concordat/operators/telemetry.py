@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.operators import ordering as od
+
 
 def cost_sets(calls: DataFrame, model: str, stage: str, question: str, cost: str) -> DataFrame:
     """Cost and number of calls by model, stage, question, both pairs and in all, told apart by ``level``."""
@@ -29,18 +31,16 @@ def most_expensive(calls: DataFrame, key: str, cost: str, n: int = 10) -> DataFr
 
 def rolling_mean(calls: DataFrame, key: str, order: list[str], value: str, rows: int = 100) -> DataFrame:
     """Rows with the mean of the last ``rows`` values of their key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return calls.withColumn("rolling_mean", F.avg(value).over(w))
+    return od.moving(calls, [key], order, rows - 1, 0, rolling_mean=F.avg(value))
 
 
 def trailing_calls(calls: DataFrame, key: str, ts: str, seconds: int = 3600) -> DataFrame:
     """Rows with the number of calls of their key in the time before, the boundary included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("trailing_calls", F.count("*").over(w))
+    return od.trailing(calls, [key], ts, seconds, trailing_calls=F.count("*"))
 
 
 def running_cost(calls: DataFrame, key: str, order: list[str], cost: str) -> DataFrame:
-    return calls.withColumn("running_cost", F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return od.running_sum(calls, [key], order, cost, "running_cost")
 
 
 def budget_crossings(calls: DataFrame, key: str, order: list[str], cost: str, budget: float, ts: str, marks: tuple[float, ...] = (0.75, 0.9, 1.0)) -> DataFrame:
@@ -62,17 +62,22 @@ def bottleneck(calls: DataFrame, key: str, stage: str, seconds: str) -> DataFram
 
 
 def history(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Rows with the values that came before them in their group, in order."""
+    """Rows with the values that came before them in their group, in order.
+
+    A row holds all that came before it, so this is for short groups, such as the
+    few questions that share one statement.
+    """
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.collect_list(value).over(w))
 
 
 def look_ahead(rows: DataFrame, group: str, order: list[str], value: str, n: int = 3) -> DataFrame:
-    """Rows with the next ``n`` values of their group, in order."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(1, n)
-    return rows.withColumn("ahead", F.collect_list(value).over(w))
+    """Rows with the next ``n`` values of their group, in order; nulls are left out."""
+    ahead = od.moving(rows, [group], order, 0, n, _list=F.collect_list(F.struct(F.lit(1).alias("one"), F.col(value).alias("v"))))
+    rest = F.transform(F.slice("_list", 2, n), lambda s: s["v"])
+    return ahead.withColumn("ahead", F.filter(rest, lambda v: v.isNotNull())).drop("_list")
 
 
 def newest(rows: DataFrame, group: str, order: list, keep: int) -> DataFrame:
     """Rows with ``kept``: whether they are among the newest of their group."""
-    return rows.withColumn("kept", F.row_number().over(Window.partitionBy(group).orderBy(*order)) <= keep)
+    return od.ranked(rows, [group], order, "_rank").withColumn("kept", F.col("_rank") < keep).drop("_rank")
