@@ -104,3 +104,37 @@ def quality_score(confidence: Column, consensus: Column, rounds: Column, relevan
 
 def quality_band(score: Column) -> Column:
     return F.when(score >= 0.9, "GOLD").when(score >= 0.8, "SILVER").when(score >= 0.7, "BRONZE").otherwise("REVIEW")
+
+
+def merged_value(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``(keys, value)``: the most frequent value as text, the earliest by ``order`` on a tie; empty texts and objects do not count."""
+    counts = values.where(~F.coalesce(F.trim(value).isin("", "null", "{}", "[]", '""'), F.lit(True))).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("o"))).alias(value))
+
+
+def missing_paths(expected: DataFrame, given: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Expected paths that an answer lacks."""
+    return expected.select(*keys, path).distinct().join(given.select(*keys, path), [*keys, path], "left_anti")
+
+
+def answered_by_enough(rows: DataFrame, key: str, model: str, least: int = 2) -> DataFrame:
+    """Keys that at least so many different models answered."""
+    return rows.groupBy(key).agg(F.count_distinct(model).alias("models")).where(F.col("models") >= least)
+
+
+def swapped_back(winner: Column, swapped: Column) -> Column:
+    """A winner as it was before the two sides changed places; anything but A and B is a tie."""
+    w = F.upper(F.trim(winner))
+    plain = F.when(w.isin("A", "B"), w).otherwise("TIE")
+    return F.when(swapped & (plain == "A"), "B").when(swapped & (plain == "B"), "A").otherwise(plain)
+
+
+def section_of(path: Column) -> Column:
+    """Section of a leaf path, ``other`` outside the numbered ones."""
+    section = F.regexp_extract(path, r"^(tier_\d)", 1)
+    return F.when(section == "", "other").otherwise(section)
+
+
+def budget_status(spent: Column, limit: Column | float) -> Column:
+    share = spent / limit
+    return F.when(share >= 1.0, "EXCEEDED").when(share >= 0.9, "CRITICAL").when(share >= 0.75, "WARNING").otherwise("OK")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from concordat.plans import live, records, search, statistics, structures, voting
+from concordat.plans import knowledge, live, records, search, statistics, structures, voting
 
 FLAGSHIP = "srt_04_knn"
-_MODULES = [search, voting, statistics, structures, live, records]
+_MODULES = [search, knowledge, voting, statistics, structures, live, records]
 try:
     from importlib import import_module
 
