@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from concordat.runtime import cut_lineage, sql_over
 
 #: A text that ends in one of these was cut and says so, or ends on a separator or an opened bracket.
-MARKED = r"(…|\\.{3,}|[\\p{L}\\p{N}]-|[,:;(\\[{]|\\[(cut|truncated|\\.\\.\\.)\\]|\\((truncated|cut)\\))$"
+MARKED = r"(…|\\.{3,}|[\\p{L}\\p{N}]-|\\s[-–—]|[,:;(\\[{]|[\\[(](more|cut|truncated|continued|…)[\\])]?|�)$"
 
 
 def texts_of(responses: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def texts_of(responses: DataFrame) -> DataFrame:
 # Words of every sentence: numbers are one word, marks at the ends of words are dropped.
 _SENTENCES = r"""
 select response_id, channel, field_name, pos, text,
-       rtrim(text) rlike '[.?!∎)\\]}”»"]$' and not rtrim(text) rlike '([0-9]\\.|\\.\\.\\.|\\[[^\\]]*\\.\\.\\.\\]|\\[(cut|truncated)\\]|\\((cut|truncated)\\))$' as closed
+       rtrim(text) rlike '[.?!∎)\\]}”»"]$' and not rtrim(text) rlike '([0-9]\\.|\\.\\.\\.|\\[[^\\]]*\\.\\.\\.\\]|[\\[(](more|cut|truncated|continued|…)[\\])])$' as closed
 from @texts
 """
 
@@ -66,7 +66,7 @@ _OPEN = "select * from @sentences where not closed"
 
 _TAILS = r"""
 select response_id, channel, field_name, pos, length(text) as len, rtrim(text) rlike '{marked}' as marked, rtrim(text) rlike '[.?!]$' as stopped,
-       coalesce(text rlike '\n|;\\s' and not text rlike '[.?!]\\s', false) as listed,
+       coalesce(text rlike '\n|;\\s|^\\s*[-*•]\\s' and not text rlike '[.?!]\\s', false) as listed,
        if(size(u) > 1, u[1], '') as o, u[0] as f,
        if(size(u) > 2, u[size(u) - 3], '^') as a, if(size(u) > 1, u[size(u) - 2], '^') as b, u[size(u) - 1] as w
 from (select *, WORDS as u from (select *, coalesce(element_at(UNITS, -1), '') as s from @open)) where size(u) > 0
@@ -92,6 +92,8 @@ select t.o, t.f, t.a, t.b, t.w,
        -- the closest level with enough occurrences decides
        coalesce(NEVER_ENDS(p1), NEVER_ENDS(p2), NEVER_ENDS(p3), NEVER_ENDS(p4), false) as never_ends,
        coalesce(p3.closed >= 0.1 * (p3.inside + p3.closed), false) as ends_elsewhere,
+       -- whole texts that end without a mark do so in the same few ways
+       (t.o <> '' and OFTEN_OPEN(p1)) or OFTEN_OPEN(p2) or OFTEN_OPEN(p3) or OFTEN_OPEN(p4) as often_open,
        coalesce(l.n >= :support and coalesce(f.n, 0) <= :share * l.n, false)
          or coalesce(lw.n >= :support and v.n is null, false) as part_of_word
 from tail_types t
@@ -111,11 +113,14 @@ _NEVER_ENDS = (
     r"\1.inside >= :support and \1.closed <= :share * (\1.inside + \1.closed) and \1.open <= \1.inside end"
 )
 
+_OFTEN_OPEN = r"coalesce(\1.open > \1.inside and \1.open >= 0.2 * \1.closed, false)"
+
 _REASONS = """
 select t.response_id, t.field_name, t.pos, t.channel, t.len, t.stopped,
        case when t.marked then 'marked' when j.part_of_word then 'within a word' 
             -- items of a list carry no full stop, so there the trigram alone must agree
-            when j.never_ends and not (t.listed and j.ends_elsewhere) then 'within a sentence' end as reason
+            when j.never_ends and not (t.listed and j.ends_elsewhere) then 'within a sentence'
+            when not t.listed and not t.stopped and not j.often_open then 'without its end' end as reason
 from @tails t join @judged j on t.o = j.o and t.f = j.f and t.a = j.a and t.b = j.b and t.w = j.w
 """
 
@@ -142,8 +147,8 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     trigram (told apart by the sentence's opening words where that is frequent
     enough, else alone, else with letters masked) is seen inside sentences at least
     ``min_support`` times and closes one in at most ``max_end_share`` of all cases, where its last word is only ever seen
-    as the beginning of longer words, where a cut mark is left, or where its
-    length is a limit at which the source's texts pile up unclosed.
+    as the beginning of longer words, where a cut mark is left, where it is no list
+    and its last trigram is usually not the open end of a text, or where its length is a limit at which the source's texts pile up unclosed.
 
     Null and blank texts are no cases, a null channel is a source of its own,
     repeated rows give repeated findings, an empty table gives no rows.
@@ -153,7 +158,8 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     sentences = sql_over(_SENTENCES, texts=texts_of(responses))
     types = cut_lineage(sql_over(_TYPES, grams=sql_over(words_of(_GRAMS), sentences=sentences)))
     tails = cut_lineage(sql_over(words_of(_TAILS.replace("{marked}", MARKED)), open=sql_over(_OPEN, sentences=sentences)))
-    judging = re.sub(r"MASK\((\w)\)", _MASK, re.sub(r"NEVER_ENDS\((\w+)\)", _NEVER_ENDS, _JUDGED))
+    judging = re.sub(r"OFTEN_OPEN\((\w+)\)", _OFTEN_OPEN, _JUDGED)
+    judging = re.sub(r"MASK\((\w)\)", _MASK, re.sub(r"NEVER_ENDS\((\w+)\)", _NEVER_ENDS, judging))
     lengths = sorted(r["n"] for r in tails.selectExpr("length(w) as n").distinct().collect())  # a few numbers
     judging = judging.replace("LENGTHS", f"array({', '.join(map(str, lengths or [1]))})")
     judged = sql_over(judging, limits_of, types=types, tails=tails)
