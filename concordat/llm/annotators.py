@@ -106,7 +106,7 @@ def _own_logs(counts: np.ndarray, types: _Types, f: str, strength: float) -> tup
 
 
 def fit_communities(
-    votes: DataFrame, sizes: dict[str, int], n_types: int = 3, strength: float = 20.0, rounds: int = 12, tolerance: float = 2e-3
+    votes: DataFrame, sizes: dict[str, int], n_types: int = 3, strength: float = 20.0, rounds: int = 16, tolerance: float = 1e-3
 ) -> tuple[DataFrame, DataFrame]:
     """``(items, annotators)`` of the fitted model.
 
