@@ -35,8 +35,7 @@ def tokens(text: Column | str) -> Column:
 
 def keywords(text: Column | str) -> Column:
     """Tokens longer than two characters that are no stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
 
 
 def sentences(text: Column | str) -> Column:

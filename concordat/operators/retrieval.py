@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import text as tx
+from concordat.runtime import cut_lineage
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -41,15 +42,16 @@ def bm25(queries: DataFrame, documents: DataFrame, query_id: str, query_text: st
     An equi-join on the term, and one partially aggregated sum. The corpus
     statistics are one row read on the driver.
     """
-    lengths = document_lengths(documents, doc_id, text)
-    one = corpus_stats(lengths, doc_id).first()
-    n, avgdl = float(one["n_docs"] or 0), float(one["avgdl"] or 0) or 1.0
+    # texts are read once: lengths, frequencies and averages all come from the written postings
+    postings = cut_lineage(term_frequencies(documents, doc_id, text))
+    lengths = postings.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
+    n = float(documents.agg(F.count_distinct(doc_id).alias("n")).first()["n"])
+    avgdl = float(postings.agg(F.sum("tf").alias("s")).first()["s"] or 0) / (n or 1.0) or 1.0
     asked = queries.select(query_id, F.explode(F.array_distinct(tx.keywords(query_text))).alias("term"))
-    postings = term_frequencies(documents, doc_id, text)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    hits = asked.join(postings.join(df, "term"), "term").join(lengths, doc_id)
+    hits = asked.join(postings, "term").join(df, "term").join(lengths, doc_id)
     return hits.groupBy(query_id, doc_id).agg(F.sum(weight).alias("score")).where("score > 0")
 
 
