@@ -92,6 +92,7 @@ select t.o, t.f, t.a, t.b, t.w,
        -- the closest level with enough occurrences decides
        coalesce(NEVER_ENDS(p1), NEVER_ENDS(p2), NEVER_ENDS(p3), NEVER_ENDS(p4), false) as never_ends,
        coalesce(p3.closed >= 0.1 * (p3.inside + p3.closed), false) as ends_elsewhere,
+       coalesce(p2.closed + p2.open > p2.inside and (p2.closed >= 1 or p2.open >= 2), false) as ends_such_items,
        -- whole texts that end without a mark do so in the same few ways
        (t.o <> '' and OFTEN_OPEN(p1)) or OFTEN_OPEN(p2) or OFTEN_OPEN(p3) or OFTEN_OPEN(p4) as often_open,
        coalesce(l.n >= :support and coalesce(f.n, 0) <= :share * l.n, false)
@@ -118,8 +119,8 @@ _OFTEN_OPEN = r"coalesce(\1.open > \1.inside and \1.open >= 0.2 * \1.closed, fal
 _REASONS = """
 select t.response_id, t.field_name, t.pos, t.channel, t.len, t.stopped,
        case when t.marked then 'marked' when j.part_of_word then 'within a word' 
-            -- items of a list carry no full stop, so there the trigram alone must agree
-            when j.never_ends and not (t.listed and j.ends_elsewhere) then 'within a sentence'
+            -- items of a list carry no full stop, so there the trigram and the item's first word must agree
+            when j.never_ends and not (t.listed and (j.ends_elsewhere or j.ends_such_items)) then 'within a sentence'
             when not t.listed and not t.stopped and not j.often_open then 'without its end' end as reason
 from @tails t join @judged j on t.o = j.o and t.f = j.f and t.a = j.a and t.b = j.b and t.w = j.w
 """
