@@ -54,4 +54,5 @@ def str_03_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query("""select user_id, count(*) as changes from (select user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) where p is null or p <> event_type group by 1""")
 def str_04_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, st.status_changes(_events(spark, sf_dir)), "update").groupBy("user_id").agg(F.count("*").alias("changes"))
+    runs = _run(spark, st.status_runs(_events(spark, sf_dir)), "update")
+    return st.settled_changes(runs).groupBy("user_id").agg(F.count("*").alias("changes"))
