@@ -46,11 +46,14 @@ def ingest(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     keeps values of its kind; any other value, and any unknown field, stays in the
     map ``_rescued`` as JSON text. ``_nulls`` names the fields that a line carries
     as null. Lines with one feed, file and line number are one line sent again, of
-    which one is kept; lines without these stand each for itself under null.
+    which a readable one is kept; lines without these stand each for itself under null.
     Extra columns are ignored, an empty table stays empty.
     """
-    once = lines.select(*FILE, "line_no", "payload").groupBy(*FILE, "line_no").agg(F.min("payload").alias("payload"))
-    parsed = once.withColumn("_v", F.try_parse_json("payload")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    is_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
+    readable = lines.select(*FILE, "line_no", "payload").where(is_object)
+    keyed = F.col("feed").isNotNull() & F.col("file_no").isNotNull() & F.col("line_no").isNotNull()
+    once = readable.where(keyed).groupBy(*FILE, "line_no").agg(F.min("payload").alias("payload"))
+    parsed = once.unionByName(readable.where(~keyed)).withColumn("_v", F.try_parse_json("payload"))
     values = parsed.select(*FILE, "line_no", F.expr("transform_values(cast(_v as map<string, variant>), (k, v) -> to_json(v))").alias("_all"))
     at = {f: F.element_at("_all", F.lit(f)) for f in target}
     fits = {f: F.coalesce(_kind(at[f]) == kind, F.lit(False)) for f, kind in target.items()}

@@ -53,3 +53,17 @@ def test_rescued_values_are_replayed(spark, files):
     assert rows[(4, 1)]["model_name"] == "ondine_7b" and rows[(4, 1)]["tokens_used"] == 1001.0
     assert set(rows[(4, 1)]["_rescued"]) == {"extra"}
     assert rows[(1, 2)]["model_name"] == "sable_base"
+
+
+def test_lines_with_a_null_in_their_key_stand_each_for_itself(spark):
+    rows = [("f", 1, None, None, '{"a": 1}'), ("f", 1, None, None, '{"a": 2}'), ("f", 1, None, None, '{"a": 2}'), ("f", None, None, 0, '{"a": 3}'), (None, 1, None, 0, '{"a": 4}')]
+    rows += [rows[3], rows[4], ("f", 1, None, 0, '{"a": 5}'), ("f", 1, None, 0, '{"a": 5}')]
+    got = drift.ingest(spark.createDataFrame(rows, SCHEMA)).selectExpr("_rescued['a'] as a").collect()
+    assert sorted(r["a"] for r in got) == ["1", "2", "2", "3", "3", "4", "4", "5"]
+
+
+def test_of_a_line_sent_twice_the_readable_one_is_kept(spark):
+    whole = '{"model_name": "boreal_r1", "n": 1}'
+    rows = [("f", 1, None, 0, whole[:20]), ("f", 1, None, 0, whole), ("f", 1, None, 1, whole[:9])]
+    got = drift.ingest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["line_no"], r["model_name"]) for r in got] == [(0, "boreal_r1")]
