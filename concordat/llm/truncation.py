@@ -96,7 +96,7 @@ select t.o, t.f, t.a, t.b, t.w,
        -- whole texts that end without a mark do so in the same few ways
        (t.o <> '' and OFTEN_OPEN(p1)) or OFTEN_OPEN(p2) or OFTEN_OPEN(p3) or OFTEN_OPEN(p4) as often_open,
        coalesce(l.n >= :support and coalesce(f.n, 0) <= :share * l.n, false)
-         or coalesce(lw.n >= :support and v.n is null, false) as part_of_word
+         or coalesce(lw.n >= :support, false) and coalesce(v.n, 0) = 0 as part_of_word
 from tail_types t
 left join @types p1 on t.o = p1.o and t.f = p1.f and t.a = p1.a and t.b = p1.b and t.w = p1.w
 left join lead p2 on t.f = p2.f and t.b = p2.b and t.w = p2.w
@@ -114,7 +114,8 @@ _NEVER_ENDS = (
     r"\1.inside >= :support and \1.closed <= :share * (\1.inside + \1.closed) and \1.open <= \1.inside end"
 )
 
-_OFTEN_OPEN = r"coalesce(\1.open > \1.inside and \1.open >= 0.2 * \1.closed, false)"
+#: The text's own open end is among the counted ones and says nothing about itself.
+_OFTEN_OPEN = r"coalesce(\1.open - 1 > \1.inside and \1.open - 1 >= 0.2 * \1.closed, false)"
 
 _REASONS = """
 select t.response_id, t.field_name, t.pos, t.channel, t.len, t.stopped,

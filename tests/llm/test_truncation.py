@@ -35,3 +35,9 @@ def test_repeated_rows_are_found_each(spark):
 def test_shares_per_source(spark, sf_dir):
     rows = queries.p2_sources(spark, sf_dir).collect()
     assert rows and all(0 <= r["cut_share"] <= 1 and r["n_cut"] <= r["n_texts"] for r in rows)
+
+
+def test_the_open_end_of_a_text_is_no_evidence_for_itself(spark):
+    more = [(400, "feed", "Careful readers admire fl", None), (401, "feed", "Careful readers often admire", None)]
+    got = found(corpus(spark, more))
+    assert got == {(400, "reasoning", -1): "within a word", (401, "reasoning", -1): "without its end"}
