@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.operators.shredding import read_json
+
 
 def leaf_paths(value, prefix: str = "") -> Iterator[tuple[str, str, str]]:
     """Path, type and JSON text of every leaf; an empty object or list is a leaf. Names with a dot stand in backticks."""
@@ -27,16 +29,16 @@ def leaf_paths(value, prefix: str = "") -> Iterator[tuple[str, str, str]]:
 
 
 def flattened(records: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``(row_id, path, type, value)``: every leaf of every readable JSON record."""
+    """``(row_id, path, type, value)``: every leaf of every readable JSON record, also of one in a fence, prose or quoting."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, body in zip(batch[row_id], batch[text], strict=True):
-                try:
-                    rows.extend((i, *leaf) for leaf in leaf_paths(json.loads(body)))
-                except (ValueError, RecursionError):
+                record = read_json(body)
+                if record is None and body.strip() != "null":
                     continue
+                rows.extend((i, *leaf) for leaf in leaf_paths(record))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=[row_id, "path", "type", "value"])
                     rows = []
@@ -47,10 +49,13 @@ def flattened(records: DataFrame, row_id: str, text: str) -> DataFrame:
     return records.where(F.col(text).isNotNull()).select(row_id, text).mapInPandas(run, f"`{row_id}` {kind}, path string, type string, value string")
 
 
-def field_counts(leaves: DataFrame, row_id: str) -> DataFrame:
-    """``(row_id, fields, filled)``: leaves in all and those that are neither null nor empty."""
-    filled = F.count_if(~F.col("value").isin("null", '""', "[]", "{}"))
-    return leaves.groupBy(row_id).agg(F.count("*").alias("fields"), filled.alias("filled"))
+def field_counts(leaves: DataFrame, row_id: str, records: DataFrame | None = None) -> DataFrame:
+    """``(row_id, fields, filled)``: leaves in all and those that are neither null nor empty; 0 for the ``records`` without a leaf."""
+    filled = F.count_if(F.col("path").isNotNull() & ~F.col("value").isin("null", '""', "[]", "{}"))
+    if records is not None:
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("path", "type", "value")]
+        leaves = leaves.unionByName(records.select(row_id, *nothing))
+    return leaves.groupBy(row_id).agg(F.count("path").alias("fields"), filled.alias("filled"))
 
 
 def aligned(leaves: DataFrame, group: str, model: str, weight: str) -> DataFrame:

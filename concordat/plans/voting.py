@@ -111,7 +111,8 @@ def prj_19_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def agg_14_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rc.field_counts(rc.flattened(table(spark, sf_dir, "response"), "response_id", "response_json"), "response_id")
+    rows = table(spark, sf_dir, "response")
+    return rc.field_counts(rc.flattened(rows, "response_id", "response_json"), "response_id", rows)
 
 
 @_R.query()
