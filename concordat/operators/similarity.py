@@ -50,12 +50,12 @@ def greedy_groups(texts: list[str], threshold: float) -> list[int]:
 
 
 def agreement(rows: DataFrame, keys: list[str], text: str, weight: str, threshold: float = 0.85) -> DataFrame:
-    """``(keys, most_common, consensus_score, n_groups)`` of texts that a few models give for one field.
+    """``(keys, most_common, consensus_score, n_groups)`` of the texts that models give for one field.
 
     Texts are first collapsed by their plain form (a partial aggregate), then
     grouped greedily by weight and text; the score is the largest group's share of
-    all weight, the text the group's first. Blocks are one field of one question, so
-    their distinct texts are bounded by the models that answered.
+    all weight, the text the group's first. All distinct texts of a block are gathered in
+    one task and compared in pairs, so a block must stay small; nothing enforces it.
     """
     plain_key = tx.normalised(text)
     kinds = rows.groupBy(*keys, plain_key.alias("p")).agg(F.min(text).alias("t"), F.sum(weight).alias("w")).where("p is not null and p <> ''")

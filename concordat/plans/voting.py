@@ -93,9 +93,9 @@ def agg_13_quality_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def agg_35_text_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of the first step that the models give for a question."""
-    steps = table(spark, sf_dir, "response").where("question_id is not null").select("question_id", F.get("step_by_step", F.lit(0)).alias("t"), F.lit(1.0).alias("w"))
-    return sm.agreement(steps, ["question_id"], "t", "w")
+    """Agreement of every step that the models give for a question, by its place."""
+    steps = table(spark, sf_dir, "response").where("question_id is not null").select("question_id", F.posexplode("step_by_step").alias("pos", "t"), F.lit(1.0).alias("w"))
+    return sm.agreement(steps, ["question_id", "pos"], "t", "w")
 
 
 @_R.query()
