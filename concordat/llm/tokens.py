@@ -94,12 +94,16 @@ class PerfectHash:
 class ByteBpe:
     """Encoder of one vocabulary of ranks."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.words = [base64.b64decode(word) for word, _ in pairs]
-        self.ids = np.array([int(rank) for _, rank in pairs], np.int64)
-        self.hash = PerfectHash(self.words)
+    def __init__(self, path: str = VOCABULARY, tables: dict | None = None):
+        """From a vocabulary file, or from the ``tables`` of another encoder."""
+        if tables is None:
+            with open(path, "rb") as lines:
+                pairs = [line.split() for line in lines if line.strip()]
+            words = [base64.b64decode(word) for word, _ in pairs]
+            tables = {"words": words, "ids": np.array([int(rank) for _, rank in pairs], np.int64), "hash": vars(PerfectHash(words))}
+        self.tables, self.words, self.ids = tables, tables["words"], tables["ids"]
+        self.hash = PerfectHash.__new__(PerfectHash)
+        vars(self.hash).update(tables["hash"])
         self.rank = dict(zip(self.words, self.ids.tolist(), strict=True))
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -152,7 +156,8 @@ PRETOKENS = regex.compile(PATTERN)
 
 
 def _encoder(spark: SparkSession, path: str) -> Broadcast:
-    return spark.sparkContext.broadcast(ByteBpe(path))
+    """The tables of the encoder; being plain bytes and arrays, they can be read where the package is not installed."""
+    return spark.sparkContext.broadcast(ByteBpe(path).tables)
 
 
 def token_ids(documents: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -165,9 +170,10 @@ def token_ids(documents: DataFrame, row_id: str = "doc_id", text: str = "text",
     shared = _encoder(documents.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ByteBpe(tables=shared.value)
         for batch in batches:
             for part in _slices(batch):
-                ids = shared.value.encode(part.column(1).to_pylist())
+                ids = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [row_id, "ids"])
 
     kind = documents.schema[row_id].dataType.simpleString()
@@ -179,9 +185,10 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", voca
     shared = _encoder(documents.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ByteBpe(tables=shared.value)
         for batch in batches:
             for part in _slices(batch):
-                sizes = [len(ids) for ids in shared.value.encode(part.column(len(keep)).to_pylist())]
+                sizes = [len(ids) for ids in encoder.encode(part.column(len(keep)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes, pa.int64())], [*keep, "n_tokens"])
 
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)

@@ -1,4 +1,7 @@
 import base64
+import os
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -42,3 +45,20 @@ def test_null_empty_and_extra_columns(spark, both):
     assert got == [(1, []), (2, []), (3, both[1].encode_ordinary("lift")), (3, both[1].encode_ordinary("lift"))]
     assert tk.token_ids(frame.limit(0)).count() == 0
     assert [r["n_tokens"] for r in tk.token_counts(frame, ["doc_id"]).orderBy("doc_id").collect()][:2] == [0, 0]
+
+
+def test_workers_need_not_have_the_package(tmp_path, sf_dir):
+    """The repository is on the driver's path only: workers start elsewhere and inherit no path to it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.memory", "2g").getOrCreate()
+from concordat.llm import queries
+for name in ("p7_ids", "p8_shares", "p9_found"):
+    print(name, queries.QUERIES[name](spark, {sf_dir!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.count("p") >= 3, done.stderr[-2000:]
