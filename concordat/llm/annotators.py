@@ -3,21 +3,25 @@
 Annotators belong to one of a few types. Each type has a confusion matrix per
 field, and an annotator's own matrix is drawn around that of its types, so one
 with few labels is judged mostly by its type and one with many by its own record.
-Votes stay in DataFrames; an iteration is two grouped sums over them. What reaches
-the driver is one matrix per field and type, whose size no data changes.
+While the annotators' matrices fit a broadcast of checked size, votes are gathered
+once per item and a round is one narrow pass that sends back the annotators' sums;
+beyond that a round is two grouped sums over the votes, and what reaches the driver
+is one matrix per field and type, whose size no data changes.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.functions.labels import spelling_key
-from concordat.runtime import broadcast_if_small, cut_lineage
+from concordat.runtime import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 #: Labels of the record schema.
 CONTENT_TYPES = ("conceptual_application", "conceptual_theory", "mathematical_derivation", "numerical_calculation")
@@ -87,6 +91,12 @@ class _Types:
         c = self.sizes[f]
         return self.counts[f] + self.prior * (np.ones((c, c)) / c + np.eye(c))[None]
 
+    def replace(self, f: str, counts: np.ndarray, members: np.ndarray, labels: np.ndarray) -> float:
+        """Take the annotators' sums by type; returns the largest change of a matrix cell."""
+        before = self.alpha(f) / self.alpha(f).sum(-1, keepdims=True)
+        self.counts[f], self.members[f], self.labels[f] = counts, members, labels + 1.0
+        return float(np.abs(self.alpha(f) / self.alpha(f).sum(-1, keepdims=True) - before).max())
+
     def log_matrices(self, f: str) -> np.ndarray:
         a = self.alpha(f)
         return _digamma(a) - _digamma(a.sum(-1, keepdims=True))
@@ -106,30 +116,139 @@ def _own_logs(counts: np.ndarray, types: _Types, f: str, strength: float) -> tup
 
 
 def fit_communities(
-    votes: DataFrame, sizes: dict[str, int], n_types: int = 3, strength: float = 20.0, rounds: int = 16, tolerance: float = 1e-3
+    votes: DataFrame, sizes: dict[str, int], n_types: int = 3, strength: float = 20.0, rounds: int = 300, tolerance: float = 1e-3, most_shared: int = BROADCAST_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``(items, annotators)`` of the fitted model.
 
     items: field_name, question_id, p (probability of each label), n_annotators, n_votes;
-    annotators: field_name, annotator, n_votes, reliability (chance to give the true label), type (the likeliest).
-    ``votes`` is the result of ``usable_votes``; an empty one gives empty results.
+    annotators: field_name, annotator, n_votes, reliability (chance to give the true label), type (the likeliest),
+    last_change (largest change of a type's matrix in the last round).
+    ``votes`` is the result of ``usable_votes``; an empty one gives empty results. Rounds go on until no cell of a
+    type's matrix changes by ``tolerance``; where ``rounds`` do not get there, a warning says so. Matrices of
+    annotators are sent to the tasks while they take at most ``most_shared`` bytes, with the same result.
     """
     votes = cut_lineage(votes)
     width = max(sizes.values())
     loads = cut_lineage(votes.groupBy("field_name", "annotator").agg(F.count("*").alias("n_votes")))
     n_annotators = loads.count()
     types = _Types(sizes, n_types)
-    counts = None
+    fit = _fit_shared if n_annotators * 8 * width * width <= most_shared else _fit_joined
+    items, annotators, change = fit(votes, loads, n_annotators, types, strength, width, rounds, tolerance)
+    if change >= tolerance:
+        warnings.warn(f"annotator model still changes by {change:.5f} after {rounds} rounds", stacklevel=2)
+    return items, annotators.select("field_name", "annotator", "n_votes", "reliability", "type", F.lit(change).alias("last_change"))
+
+
+def _fit_shared(
+    votes: DataFrame, loads: DataFrame, n_annotators: int, types: _Types, strength: float, width: int, rounds: int, tolerance: float
+) -> tuple[DataFrame, DataFrame, float]:
+    """The fit over votes gathered per item, of which there are at most as many as labels of all annotators."""
+    spark = votes.sparkSession
+    people = loads.toPandas().sort_values(["field_name", "annotator"], ignore_index=True)
+    people["a"] = np.arange(len(people))
+    fields, of = list(types.sizes), people["field_name"].tolist()
+    numbered = spark.createDataFrame(people[["field_name", "annotator", "a"]], "field_name string, annotator string, a int")
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f, i)])[F.col("field_name")]
+    items = cut_lineage(
+        votes.join(F.broadcast(numbered), ["field_name", "annotator"])
+        .groupBy("field_name", "question_id")
+        .agg(F.collect_list("a").alias("a"), F.collect_list("l").alias("l"), F.count("*").alias("n_votes"), F.count_distinct("a").alias("n_annotators"))
+        .withColumn("f", place)
+    )
+
+    def share(counts: np.ndarray) -> tuple:
+        """Log matrices of all annotators and log shares of the labels, for the tasks."""
+        logs = np.full((len(of), width, width), 0.0)
+        for i, f in enumerate(of):
+            c = types.sizes[f]
+            logs[i, :c, :c] = _own_logs(counts[i, :c, :c], types, f, strength)[1]
+        prior = np.full((len(fields), width), -np.inf)
+        for i, f in enumerate(fields):
+            prior[i, : types.sizes[f]] = np.log(types.labels[f] / types.labels[f].sum())
+        return spark.sparkContext.broadcast((logs, prior))
+
+    def posterior(batch: pa.RecordBatch, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Label probabilities of a batch's items and, vote by vote, its item, annotator and label."""
+        at, f = batch.schema.names, batch.column("f").to_numpy(zero_copy_only=False)
+        a, given = (batch.column(at.index(c)).flatten().to_numpy(zero_copy_only=False) for c in ("a", "l"))
+        sizes = np.diff(batch.column("a").offsets.to_numpy())
+        item = np.repeat(np.arange(len(f)), sizes)
+        score = np.add.reduceat(logs[a, :, given], np.cumsum(sizes) - sizes) + prior[f]
+        p = np.exp(score - score.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True), item, a, given
+
+    def one_round(shared) -> np.ndarray:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            logs, prior = shared.value
+            total = np.zeros((len(logs), width, width))  # the checked size
+            for batch in batches:
+                if len(batch):
+                    p, item, a, given = posterior(batch, logs, prior)
+                    np.add.at(total.transpose(0, 2, 1), (a, given), p[item])
+            cells = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], ["cell", "v"])
+
+        sums = items.select("f", "a", "l").mapInArrow(step, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros(len(of) * width * width)
+        out[sums["cell"]] = sums["v"]
+        return out.reshape(len(of), width, width)
+
+    counts, change, shared = np.zeros((len(of), width, width)), 0.0, share(np.zeros((len(of), width, width)))
+    for turn in range(rounds if of else 0):
+        counts = one_round(shared)
+        shared.unpersist()
+        change = _settle(counts, of, types, strength)
+        shared = share(counts)
+        if change < tolerance and turn > 2:
+            break
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, prior = shared.value
+        for batch in batches:
+            if len(batch):
+                p = posterior(batch, logs, prior)[0]
+                known = prior > -np.inf
+                lists = pa.array([row[k].tolist() for row, k in zip(p, known[batch.column("f").to_numpy(zero_copy_only=False)], strict=True)], pa.list_(pa.float64()))
+                keep = [batch.column(c) for c in ("field_name", "question_id")]
+                yield pa.RecordBatch.from_arrays([*keep, lists, batch.column("n_annotators"), batch.column("n_votes")], ["field_name", "question_id", "p", "n_annotators", "n_votes"])
+
+    out = items.mapInArrow(label, "field_name string, question_id string, p array<double>, n_annotators long, n_votes long")
+    own = [_own_logs(counts[i, : types.sizes[f], : types.sizes[f]], types, f, strength) for i, f in enumerate(of)]
+    people["reliability"] = [float((types.labels[f] / types.labels[f].sum() * np.diag(mean)).sum()) for f, (_, _, mean) in zip(of, own, strict=True)]
+    people["type"] = [int(r.argmax()) for r, _, _ in own]
+    known = spark.createDataFrame(people.drop(columns="a"), "field_name string, annotator string, n_votes long, reliability double, type int")
+    return out, known, change
+
+
+def _settle(counts: np.ndarray, of: list[str], types: _Types, strength: float) -> float:
+    """New type matrices from all annotators' counts; returns the largest change of a matrix cell."""
+    sums: dict[str, list] = {}
+    for n, f in zip(counts, of, strict=True):
+        c = types.sizes[f]
+        n = n[:c, :c]
+        r = _own_logs(n, types, f, strength)[0]
+        a, b, d = sums.get(f, (0.0, 0.0, 0.0))
+        sums[f] = (a + r[:, None, None] * n[None], b + r, d + n.sum(1))
+    return max((types.replace(f, *s) for f, s in sums.items()), default=0.0)
+
+
+def _fit_joined(
+    votes: DataFrame, loads: DataFrame, n_annotators: int, types: _Types, strength: float, width: int, rounds: int, tolerance: float
+) -> tuple[DataFrame, DataFrame, float]:
+    """The fit for any number of annotators: votes meet their annotator's matrix and their item's labels by joins."""
+    counts, change = None, 0.0
+    people = cut_lineage(votes.groupBy("field_name", "question_id").agg(F.count("*").alias("n_votes"), F.count_distinct("annotator").alias("n_annotators")))
     for turn in range(rounds):
         params = loads if counts is None else counts
         soft = _posteriors(votes, _annotator_table(params, types, strength, counts is None), types, n_annotators, width)
         counts = cut_lineage(_soft_counts(votes, soft, width))
-        if _update_types(counts, types, strength) < tolerance and turn > 2:
+        change = _update_types(counts, types, strength)
+        if change < tolerance and turn > 2:
             break
     matrices = _annotator_table(counts, types, strength, False) if counts is not None else _annotator_table(loads, types, strength, True)
-    items = _posteriors(votes, matrices, types, n_annotators, width)
+    items = _posteriors(votes, matrices, types, n_annotators, width).join(people, ["field_name", "question_id"])
     reliability = matrices.select("field_name", "annotator", "type", "reliability").join(loads, ["field_name", "annotator"])
-    return items, reliability.select("field_name", "annotator", "n_votes", "reliability", "type")
+    return items.select("field_name", "question_id", "p", "n_annotators", "n_votes"), reliability, change
 
 
 def _annotator_table(params: DataFrame, types: _Types, strength: float, fresh: bool) -> DataFrame:
@@ -158,9 +277,7 @@ def _posteriors(votes: DataFrame, annotators: DataFrame, types: _Types, n_annota
     joined = votes.join(broadcast_if_small(logs, n_annotators, 8 * width * width), ["field_name", "annotator"])
     n_classes = F.create_map(*[F.lit(x) for f, c in types.sizes.items() for x in (f, c)])[F.col("field_name")]
     likelihood = [F.sum(F.coalesce(F.get("logs", F.lit(c) * n_classes + F.col("l")), F.lit(0.0))).alias(f"s{c}") for c in range(width)]
-    summed = joined.groupBy("field_name", "question_id").agg(
-        *likelihood, F.count("*").alias("n_votes"), F.count_distinct("annotator").alias("n_annotators")
-    )
+    summed = joined.groupBy("field_name", "question_id").agg(*likelihood)
     prior = {f: np.log(v / v.sum()).tolist() for f, v in types.labels.items()}
     start = F.create_map(*[x for f, p in prior.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in p]))])[F.col("field_name")]
     scores = F.transform(
@@ -170,7 +287,7 @@ def _posteriors(votes: DataFrame, annotators: DataFrame, types: _Types, n_annota
     p = F.transform("weights", lambda w: w / F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
     return (
         summed.withColumn("scores", scores).withColumn("weights", weights)
-        .select("field_name", "question_id", p.alias("p"), "n_annotators", "n_votes")
+        .select("field_name", "question_id", p.alias("p"))
     )
 
 
@@ -206,9 +323,7 @@ def _update_types(counts: DataFrame, types: _Types, strength: float) -> float:
     for f, cells in flat.toPandas().groupby("field_name"):
         c, k = types.sizes[f], types.n
         v = cells.sort_values("i")["v"].to_numpy()
-        before = types.alpha(f) / types.alpha(f).sum(-1, keepdims=True)
-        types.counts[f], types.members[f], types.labels[f] = v[: k * c * c].reshape(k, c, c), v[k * c * c : k * c * c + k], v[-c:] + 1.0
-        change = max(change, float(np.abs(types.alpha(f) / types.alpha(f).sum(-1, keepdims=True) - before).max()))
+        change = max(change, types.replace(f, v[: k * c * c].reshape(k, c, c), v[k * c * c : k * c * c + k], v[-c:]))
     return change
 
 
