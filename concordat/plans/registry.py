@@ -1,4 +1,4 @@
-"""All registered queries; those of the training-data subpackage join in where it is installed."""
+"""All registered queries of the core library and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from concordat.plans import knowledge, live, records, search, statistics, struct
 
 FLAGSHIP = "srt_04_knn"
 _MODULES = [search, knowledge, voting, statistics, structures, live, records]
-try:
-    from importlib import import_module
-
-    _MODULES.append(import_module("concordat.llm.queries"))
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith("concordat.llm"):
-        raise
 
 
 def queries() -> dict:
