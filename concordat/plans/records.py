@@ -14,8 +14,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The child tables with their elements as JSON."""
-    return shredding.child_tables(table(spark, sf_dir, "response"), "response_id", "response_json", with_values=True)
+    """The tables of steps, mistakes and formulas: a row per leaf of each element, places counted from the levels."""
+    levels = shredding.level_columns(table(spark, sf_dir, "response"), "response_id", "response_json")
+    rows = shredding.ancestor_table(levels, "response_id", r"^(?:.*\.)?(?:step_by_step|common_mistakes|formulas_principles)\[\]")
+    return rows.withColumn("child", F.regexp_extract("ancestor", r"(\w+)\[\]$", 1))
 
 
 def p5_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

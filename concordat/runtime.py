@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,10 @@ def sql_over(text: str, args: dict | None = None, **frames: DataFrame) -> DataFr
         frame.createOrReplaceTempView(view)
         text = re.sub(rf"@{name}\b", view, text)
     return spark.sql(text, args=args or {})
+
+
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of a few MB each, so that long texts do not pile up as Python objects."""
+    rows = max(1, int(len(batch) * limit / max(batch.nbytes, 1)))
+    for start in range(0, len(batch), rows):
+        yield batch.slice(start, rows)

@@ -1,7 +1,7 @@
 import json
 import random
 
-from concordat.operators.shredding import child_tables, level_columns, read_json
+from concordat.operators.shredding import ancestor_table, child_tables, level_columns, read_json
 
 
 def brute(record):
@@ -97,11 +97,55 @@ def test_long_and_deep_records(spark):
     assert got.count() == 20000
 
 
-def test_levels_rebuild_the_rows(spark):
-    body = json.dumps({"formulas_principles": [{"variables": [1, None, 2]}, None, "f"]})
+def test_levels_of_a_list_and_of_a_leaf_below_it(spark):
+    body = json.dumps({"a": [{"b": [1, None, 2], "c": "x"}, None, "f", {"b": []}]})
     levels = level_columns(spark.createDataFrame([(1, body)], "response_id long, body string"), "response_id", "body")
-    inner = [(r["rep"], r["def"]) for r in levels.where("path = 'variables'").orderBy("entry").collect()]
-    assert inner == [(0, 4), (2, 3), (2, 4), (1, 1), (1, 2)]
+    of = lambda p: [(r["rep"], r["def"], r["value"]) for r in levels.where(f"path = '{p}'").orderBy("entry").collect()]
+    assert of("a[]") == [(0, 4, None), (1, 3, None), (1, 5, '"f"'), (1, 4, None)]
+    assert of("a[].b[]") == [(0, 9, "1"), (2, 7, None), (2, 9, "2"), (1, 3, None), (1, 4, None), (1, 6, None)]
+    assert of("a[].c") == [(0, 6, '"x"'), (1, 3, None), (1, 4, None), (1, 4, None)]
+
+
+def leaves(value, path=(), places=()):
+    """Path, places and value of every scalar and non-null list element by a plain walk."""
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            if v is not None:
+                yield from leaves(v, (*path, k), places)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            if v is not None:
+                yield (*path, "[]"), (*places, i), None
+                yield from leaves(v, (*path, "[]"), (*places, i))
+    else:
+        yield path, places, value
+
+
+def test_any_repeated_ancestor_is_rebuilt_from_the_levels(spark):
+    r = random.Random(9)
+
+    def value(depth):
+        kind = r.random()
+        if depth == 0 or kind < 0.3:
+            return r.choice([None, 1, "a", True, {}, 2.5])
+        if kind < 0.65:
+            return [value(depth - 1) for _ in range(r.randint(0, 3))]
+        return {k: value(depth - 1) for k in r.sample("xyz", r.randint(0, 3))}
+
+    records = [{"a": value(4), "b": [value(3) for _ in range(r.randint(0, 3))]} for _ in range(80)]
+    frame = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "id long, body string")
+    levels = level_columns(frame, "id", "body", ())
+    want = {}
+    for i, x in enumerate(records):
+        for path, places, v in leaves(x):
+            name = "".join(p if p == "[]" else f".{p}" for p in path)[1:]
+            want.setdefault((i, name, places), []).append(v)
+    for ancestor in (r"^a\[\]", r"^b\[\]", r"^b\[\]\.x\[\]", r"^a\[\]\.y"):
+        got = {(t["id"], t["ancestor"] + t["leaf"], (*t["places"], *t["inner"])) for t in ancestor_table(levels, "id", ancestor).collect()}
+        head = ancestor[1:].replace("\\", "")
+        assert got == {k for k in want if head.endswith("[]") and (k[1] == head or k[1].startswith((head + ".", head + "[")))}
+    scalars = {(t["id"], t["ancestor"] + t["leaf"], (*t["places"], *t["inner"])): json.loads(t["value"]) for t in ancestor_table(levels, "id", r"^b\[\]").where("value is not null").collect()}
+    assert scalars == {k: v for k, vs in want.items() for v in vs if k[1].startswith("b[]") and v is not None}
 
 
 def test_read_json_keeps_truncated_out():
