@@ -120,7 +120,8 @@ def fit_communities(
 ) -> tuple[DataFrame, DataFrame]:
     """``(items, annotators)`` of the fitted model.
 
-    items: field_name, question_id, p (probability of each label), n_annotators, n_votes;
+    items: field_name, question_id, p (probability of each label), agreement (chance that two of its votes, drawn without
+    replacement, are equal; 1 for one vote), n_annotators, n_votes;
     annotators: field_name, annotator, n_votes, reliability (chance to give the true label), type (the likeliest),
     last_change (largest change of a type's matrix in the last round).
     ``votes`` is the result of ``usable_votes``; an empty one gives empty results. Rounds go on until no cell of a
@@ -206,13 +207,17 @@ def _fit_shared(
         logs, prior = shared.value
         for batch in batches:
             if len(batch):
-                p = posterior(batch, logs, prior)[0]
+                p, item, _, given = posterior(batch, logs, prior)
                 known = prior > -np.inf
                 lists = pa.array([row[k].tolist() for row, k in zip(p, known[batch.column("f").to_numpy(zero_copy_only=False)], strict=True)], pa.list_(pa.float64()))
+                alike = np.zeros((len(p), width))
+                np.add.at(alike, (item, given), 1)
+                n = alike.sum(1)
+                agreement = np.where(n > 1, (alike * (alike - 1)).sum(1) / np.maximum(n * (n - 1), 1), 1.0)
                 keep = [batch.column(c) for c in ("field_name", "question_id")]
-                yield pa.RecordBatch.from_arrays([*keep, lists, batch.column("n_annotators"), batch.column("n_votes")], ["field_name", "question_id", "p", "n_annotators", "n_votes"])
+                yield pa.RecordBatch.from_arrays([*keep, lists, pa.array(agreement), batch.column("n_annotators"), batch.column("n_votes")], _ITEM)
 
-    out = items.mapInArrow(label, "field_name string, question_id string, p array<double>, n_annotators long, n_votes long")
+    out = items.mapInArrow(label, "field_name string, question_id string, p array<double>, agreement double, n_annotators long, n_votes long")
     own = [_own_logs(counts[i, : types.sizes[f], : types.sizes[f]], types, f, strength) for i, f in enumerate(of)]
     people["reliability"] = [float((types.labels[f] / types.labels[f].sum() * np.diag(mean)).sum()) for f, (_, _, mean) in zip(of, own, strict=True)]
     people["type"] = [int(r.argmax()) for r, _, _ in own]
@@ -220,6 +225,9 @@ def _fit_shared(
     return out, known, change
 
 
+_ITEM = ["field_name", "question_id", "p", "agreement", "n_annotators", "n_votes"]
+
+
 def _settle(counts: np.ndarray, of: list[str], types: _Types, strength: float) -> float:
     """New type matrices from all annotators' counts; returns the largest change of a matrix cell."""
     sums: dict[str, list] = {}
@@ -237,7 +245,12 @@ def _fit_joined(
 ) -> tuple[DataFrame, DataFrame, float]:
     """The fit for any number of annotators: votes meet their annotator's matrix and their item's labels by joins."""
     counts, change = None, 0.0
-    people = cut_lineage(votes.groupBy("field_name", "question_id").agg(F.count("*").alias("n_votes"), F.count_distinct("annotator").alias("n_annotators")))
+    n, alike = F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1))
+    votes_of = votes.groupBy("field_name", "question_id", "l").agg(F.count("*").alias("c")).groupBy("field_name", "question_id").agg(
+        F.when(n < 2, 1.0).otherwise(alike / F.greatest(n * (n - 1), F.lit(1))).alias("agreement")
+    )
+    people = votes.groupBy("field_name", "question_id").agg(F.count("*").alias("n_votes"), F.count_distinct("annotator").alias("n_annotators"))
+    people = cut_lineage(people.join(votes_of, ["field_name", "question_id"]))
     for turn in range(rounds):
         params = loads if counts is None else counts
         soft = _posteriors(votes, _annotator_table(params, types, strength, counts is None), types, n_annotators, width)
@@ -248,7 +261,7 @@ def _fit_joined(
     matrices = _annotator_table(counts, types, strength, False) if counts is not None else _annotator_table(loads, types, strength, True)
     items = _posteriors(votes, matrices, types, n_annotators, width).join(people, ["field_name", "question_id"])
     reliability = matrices.select("field_name", "annotator", "type", "reliability").join(loads, ["field_name", "annotator"])
-    return items.select("field_name", "question_id", "p", "n_annotators", "n_votes"), reliability, change
+    return items.select(*_ITEM), reliability, change
 
 
 def _annotator_table(params: DataFrame, types: _Types, strength: float, fresh: bool) -> DataFrame:
@@ -327,20 +340,13 @@ def _update_types(counts: DataFrame, types: _Types, strength: float) -> float:
     return change
 
 
-def consensus(items: DataFrame, votes: DataFrame, schema: DataFrame, min_annotators: int = 3) -> DataFrame:
+def consensus(items: DataFrame, schema: DataFrame, min_annotators: int = 3) -> DataFrame:
     """``(question_id, field_name, label, confidence, agreement, n_annotators)`` of items with enough annotators.
 
-    The label is the likeliest one, the first of the schema on a tie; agreement is
-    the chance that two votes drawn without replacement are equal (1 for one vote).
+    The label is the likeliest one, the first of the schema on a tie.
     """
-    pairs = (
-        votes.groupBy("field_name", "question_id", "l").count()
-        .groupBy("field_name", "question_id")
-        .agg(F.sum(F.col("count") * (F.col("count") - 1)).alias("same"), F.sum("count").alias("n"))
-        .select("field_name", "question_id", F.when(F.col("n") < 2, 1.0).otherwise(F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
-    )
     top = items.where(F.col("n_annotators") >= min_annotators).withColumn("confidence", F.array_max("p"))
     named = top.withColumn("l", (F.array_position("p", F.col("confidence")) - 1).cast("int")).join(
         F.broadcast(schema.select("field_name", "l", "label")), ["field_name", "l"]
     )
-    return named.join(pairs, ["field_name", "question_id"]).select("question_id", "field_name", "label", "confidence", "agreement", "n_annotators")
+    return named.select("question_id", "field_name", "label", "confidence", "agreement", "n_annotators")

@@ -88,23 +88,23 @@ def _p4(spark: SparkSession, sf_dir: str):
     fields = {"content_type": an.CONTENT_TYPES, "weight_strategy": strategies, "difficulty_score": an.DIFFICULTIES}
     schema = an.label_schema(spark, fields)
     raw = table(spark, sf_dir, "label_vote").select("question_id", "model_name", *fields)
-    votes = cut_lineage(an.usable_votes(raw, schema, table(spark, sf_dir, "model_price")))
+    votes = an.usable_votes(raw, schema, table(spark, sf_dir, "model_price"))
     items, annotators = an.fit_communities(votes, {f: len(labels) for f, labels in fields.items()})
-    return schema, votes, items, annotators
+    return schema, items, annotators
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema, votes, items, _ = _p4(spark, sf_dir)
-    return an.consensus(items, votes, schema).select("question_id", "field_name", "label")
+    schema, items, _ = _p4(spark, sf_dir)
+    return an.consensus(items, schema).select("question_id", "field_name", "label")
 
 
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema, votes, items, _ = _p4(spark, sf_dir)
-    return an.consensus(items, votes, schema, min_annotators=1)
+    schema, items, _ = _p4(spark, sf_dir)
+    return an.consensus(items, schema, min_annotators=1)
 
 
 def p4_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p4(spark, sf_dir)[3]
+    return _p4(spark, sf_dir)[2]
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_truth_is_recovered_where_the_majority_is_wrong(spark):
     frame = spark.createDataFrame([("f", q, a, v) for q, a, v in votes], "field_name string, question_id string, annotator string, l int")
     items, annotators = an.fit_communities(frame, {"f": 4})
     schema = an.label_schema(spark, {"f": list("0123")})
-    got = {x["question_id"]: int(x["label"]) for x in an.consensus(items, frame, schema).collect()}
+    got = {x["question_id"]: int(x["label"]) for x in an.consensus(items, schema).collect()}
     assert len(got) == 400
     right = sum(got[q] == t for q, t in truth.items()) / 400
     trust = {x["annotator"]: x["reliability"] for x in annotators.collect()}
@@ -60,7 +60,7 @@ def test_nothing_and_agreement(spark):
     items, annotators = an.fit_communities(votes.limit(0), {"content_type": 2, "difficulty_score": 10})
     assert items.count() == 0 and annotators.count() == 0
     items, _ = an.fit_communities(votes, {"content_type": 2, "difficulty_score": 10})
-    rows = {r["question_id"]: r for r in an.consensus(items, votes, schema).collect()}
+    rows = {r["question_id"]: r for r in an.consensus(items, schema).collect()}
     assert set(rows) == {"q"} and rows["q"]["label"] == "c" and abs(rows["q"]["agreement"] - 1 / 3) < 1e-9
 
 
@@ -69,7 +69,7 @@ def test_joined_matrices_give_the_same_and_the_fit_settles(spark):
     votes = [("f", f"q{i}", f"a{j}", (i % 4) if r.random() < 0.3 + 0.1 * j else r.randint(0, 3)) for i in range(60) for j in range(6) if r.random() < 0.8]
     frame = spark.createDataFrame(votes, "field_name string, question_id string, annotator string, l int").distinct()
     fits = [an.fit_communities(frame, {"f": 4}, most_shared=n, rounds=12, tolerance=0.05) for n in (1 << 20, 0)]
-    rows = [{x["question_id"]: [round(v, 5) for v in x["p"]] for x in items.collect()} for items, _ in fits]
+    rows = [{x["question_id"]: [round(v, 5) for v in (*x["p"], x["agreement"])] for x in items.collect()} for items, _ in fits]
     assert rows[0] == rows[1]
     trust = [{x["annotator"]: (round(x["reliability"], 5), x["type"], x["n_votes"]) for x in annotators.collect()} for _, annotators in fits]
     assert trust[0] == trust[1]
