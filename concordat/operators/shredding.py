@@ -111,13 +111,14 @@ def _read(value, lists: frozenset):
 class _Node:
     """A place in the records: what stands there in any record of a batch, and the column of its scalars."""
 
-    __slots__ = ("column", "depth", "items", "keys", "level", "name", "path", "up")
+    __slots__ = ("column", "depth", "items", "keys", "level", "name", "path", "up", "whole")
 
     def __init__(self, name: str | None, path: str, up: _Node | None, depth: int, level: int):
         self.name, self.path, self.up, self.depth, self.level = name, path, up, depth, level
         self.keys: dict[str, _Node] = {}
         self.items: _Node | None = None
         self.column: tuple[list, list, list, list] | None = None
+        self.whole = False  # whether the column keeps whole elements beside scalars
 
     def key(self, name: str) -> _Node:
         if name not in self.keys:
@@ -176,7 +177,7 @@ def _shred(node: _Node, value, row: int, rep: int) -> None:
         rows.append(row)
         reps.append(rep)
         levels.append(level + scalar)
-        values.append(value if scalar else None)
+        values.append(value if scalar or node.whole else None)
     if node.items is not None:
         if not is_list or not value:
             _absent(node.items, row, rep, level + is_list)
@@ -196,7 +197,7 @@ def _shred(node: _Node, value, row: int, rep: int) -> None:
             _shred(child, v, row, rep)
 
 
-def _columns(texts: list[str | None], lists: frozenset, wanted: Callable[[_Node], bool] | None) -> list[_Node]:
+def _columns(texts: list[str | None], lists: frozenset, wanted: Callable[[_Node], bool] | None, whole: bool = False) -> list[_Node]:
     """The places with a column, over a batch of records; only the ``wanted`` ones, or all lists and scalars."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     root, scalar, records = _Node(None, "", None, 0, 0), set(), []
@@ -208,7 +209,7 @@ def _columns(texts: list[str | None], lists: frozenset, wanted: Callable[[_Node]
             _grow(root, record, scalar)
     places = [n for n in root.all() if (wanted(n) if wanted else n in scalar or n.name is None)]
     for n in places:
-        n.column = ([], [], [], [])
+        n.column, n.whole = ([], [], [], []), whole
     if wanted:
         _prune(root)
     for row, record in records:
@@ -255,12 +256,12 @@ def _lists(fields: tuple) -> frozenset:
     return frozenset(n for f in fields if isinstance(f, Repeated) for n in (f.name, f.child) if n)
 
 
-def child_tables(records: DataFrame, row_id: str, text: str, fields: tuple = RECORD_FIELDS) -> DataFrame:
-    """``(row_id, child, parent_pos, pos)``: one row per non-null element of the listed fields.
+def child_tables(records: DataFrame, row_id: str, text: str, fields: tuple = RECORD_FIELDS, with_values: bool = False) -> DataFrame:
+    """``(row_id, child, parent_pos, pos[, value])``: one row per non-null element of the listed fields.
 
     child is the field's name, pos the element's place in its list, parent_pos -1 or
-    the place of the element that holds the list. Only the level columns of these
-    fields are filled, all places are counts over their levels. A null text, or one
+    the place of the element that holds the list, value the element as JSON. Only the
+    level columns of these fields are filled, all places are counts over their levels. A null text, or one
     that holds no complete JSON value, gives no row; a null element keeps its place
     without a row; a field met twice in a record gives the elements of both. Records
     are read whole at any depth and length, repeated rows are shredded each, other
@@ -271,7 +272,7 @@ def child_tables(records: DataFrame, row_id: str, text: str, fields: tuple = REC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                for node in _columns(part.column(1).to_pylist(), lists, lambda n: _named(n, fields) is not None):
+                for node in _columns(part.column(1).to_pylist(), lists, lambda n: _named(n, fields) is not None, with_values):
                     child, inner = _named(node, fields)
                     row, rep, level = (np.asarray(x) for x in node.column[:3])
                     there = np.flatnonzero(level >= node.level)
@@ -281,10 +282,14 @@ def child_tables(records: DataFrame, row_id: str, text: str, fields: tuple = REC
                     parent = _position(rep, node.depth - 1) if inner else np.full(len(rep), -1)
                     ids = part.column(0).take(pa.array(row[there]))
                     name = pa.array([child]).take(pa.array(np.zeros(len(there), np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids, name, pa.array(parent[there]), pa.array(pos[there])], [row_id, "child", "parent_pos", "pos"])
+                    out = {row_id: ids, "child": name, "parent_pos": pa.array(parent[there]), "pos": pa.array(pos[there])}
+                    if with_values:
+                        out["value"] = pa.array([json.dumps(node.column[3][i], ensure_ascii=False) for i in there], pa.string())
+                    yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = records.schema[row_id].dataType.simpleString()
-    return records.where(F.col(text).isNotNull()).select(row_id, text).mapInArrow(run, f"`{row_id}` {kind}, child string, parent_pos long, pos long")
+    schema = f"`{row_id}` {kind}, child string, parent_pos long, pos long" + (", value string" if with_values else "")
+    return records.where(F.col(text).isNotNull()).select(row_id, text).mapInArrow(run, schema)
 
 
 def level_columns(records: DataFrame, row_id: str, text: str, fields: tuple = RECORD_FIELDS) -> DataFrame:

@@ -2,79 +2,42 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.casts import safe_double
+from concordat.operators import rules
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One demand on the value at a path of a JSON record.
+def violations(records: DataFrame, row_id: str, text: str, shapes: dict[str, rules.Shape] = rules.RECORD_SHAPES) -> DataFrame:
+    """``(row_id, section, check, path)``: one row per rule a record breaks.
 
-    check is required, type, enum or range; argument is the type's name, the
-    allowed values or the two bounds. A null at the top of a section breaks
-    ``required``, one further down is allowed.
+    check is required (the field is not there), null (at the top of a section), type,
+    enum, range, element (of a list, no object) or, for a text that is no JSON object,
+    json. Structs and list elements are held to their own shapes, elements with their
+    place in the path. A null further down is allowed; a section that is missing
+    breaks one rule only. A null text gives no row, repeated rows are judged each.
     """
-
-    section: str
-    path: str
-    check: str
-    argument: object = None
-
-
-#: Rules of the classification section.
-CLASSIFICATION_RULES = (
-    Rule("tier_0_classification", "content_type", "required"),
-    Rule("tier_0_classification", "content_type", "enum", ("conceptual_theory", "conceptual_application", "mathematical_derivation", "numerical_calculation")),
-    Rule("tier_0_classification", "media_type", "required"),
-    Rule("tier_0_classification", "media_type", "enum", ("text_only", "image_based")),
-    Rule("tier_0_classification", "difficulty_score", "required"),
-    Rule("tier_0_classification", "difficulty_score", "type", "number"),
-    Rule("tier_0_classification", "difficulty_score", "range", (1, 10)),
-    Rule("tier_0_classification", "classification_confidence", "type", "number"),
-    Rule("tier_0_classification", "classification_confidence", "range", (0, 1)),
-    Rule("tier_0_classification", "complexity_flags", "type", "object"),
-    Rule("tier_1_core_research", "answer_validation", "required"),
-    Rule("tier_1_core_research", "answer_validation", "type", "object"),
-    Rule("tier_1_core_research", "explanation", "type", "object"),
-)
-
-
-def _kind(raw: Column) -> Column:
-    first = F.substring(raw, 1, 1)
-    return F.when(first == "{", "object").when(first == "[", "list").when(raw.isin("true", "false"), "boolean").when(raw.try_cast("double").isNotNull(), "number").otherwise("text")
-
-
-def _broken(rule: Rule, raw: Column) -> Column:
-    where = f"{rule.section}.{rule.path}"
-    if rule.check == "required":
-        broken = raw.isNull()
-    elif rule.check == "type":
-        broken = raw.isNotNull() & (_kind(raw) != F.lit(rule.argument))
-    elif rule.check == "enum":
-        broken = raw.isNotNull() & ~raw.isin(*rule.argument)
-    else:
-        low, high = rule.argument
-        broken = ~F.coalesce(raw.try_cast("double").between(low, high), F.lit(True))
-    return F.when(broken, F.struct(F.lit(rule.section).alias("section"), F.lit(rule.check).alias("check"), F.lit(where).alias("path")))
-
-
-def violations(records: DataFrame, row_id: str, text: str, rules: tuple[Rule, ...] = CLASSIFICATION_RULES) -> DataFrame:
-    """``(row_id, section, check, path)``: one row per rule a record breaks; an unreadable record breaks ``json``."""
-    readable = F.try_parse_json(text).isNotNull()
-    found = [_broken(r, F.get_json_object(F.col(text), f"$.{r.section}.{r.path}")) for r in rules]
-    unread = F.array(F.struct(F.lit("root").alias("section"), F.lit("json").alias("check"), F.lit("$").alias("path")))
-    errors = F.when(readable, F.filter(F.array(*found), lambda e: e.isNotNull())).otherwise(unread)
-    return records.where(F.col(text).isNotNull()).select(row_id, F.explode(errors).alias("e")).select(row_id, "e.section", "e.check", "e.path")
+    parsed = records.where(F.col(text).isNotNull()).select(
+        # exploded, so that every record is parsed once and not once per rule
+        row_id, F.explode(F.array(F.try_parse_json(text))).alias("_v")
+    )
+    entry = lambda section, check, path: F.struct(F.lit(section).alias("section"), F.lit(check).alias("check"), F.lit(path).alias("path"))
+    root = F.array(*[F.when(F.try_variant_get("_v", f"$.{f}", "variant").isNull(), entry("root", "required", f)) for f in rules.ROOT])
+    frame, broken = rules.broken_rules(parsed, "_v", shapes)
+    readable = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    errors = F.when(readable, F.concat(root, broken)).otherwise(F.array(entry("root", "json", "$")))
+    each = frame.select(row_id, F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("e"))
+    return each.select(row_id, "e.section", "e.check", "e.path")
 
 
 def violation_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("section", "check").agg(F.count("*").alias("n"))
 
 
+_ALLOWED = rules.RECORD_SHAPES["tier_0_classification"].allowed
+
+
 def repaired_classification(rows: DataFrame) -> DataFrame:
     """Rows whose content_type, media_type, difficulty_score, weight_strategy and confidence are brought into their domains.
 
@@ -85,8 +48,9 @@ def repaired_classification(rows: DataFrame) -> DataFrame:
     confidence = F.col("classification_confidence")
     return rows.withColumns(
         {
-            "content_type": allowed("content_type", CLASSIFICATION_RULES[1].argument, "conceptual_theory"),
-            "media_type": allowed("media_type", CLASSIFICATION_RULES[3].argument, "text_only"),
+            "content_type": allowed("content_type", _ALLOWED["content_type"], "conceptual_theory"),
+            "media_type": allowed("media_type", _ALLOWED["media_type"], "text_only"),
+            "weight_strategy": allowed("weight_strategy", _ALLOWED["weight_strategy"], "BALANCED"),
             "difficulty_score": F.when(F.col("difficulty_score").between(1, 10), F.col("difficulty_score")).otherwise(F.lit(5)),
             "classification_confidence": F.when(confidence.between(0.0, 1.0) & ~F.isnan(confidence), confidence).otherwise(F.lit(0.5)),
         }

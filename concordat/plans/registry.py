@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from concordat.plans import knowledge, live, records, search, statistics, structures, voting
+from concordat.plans import checks, knowledge, live, records, search, statistics, structures, voting
 
 FLAGSHIP = "srt_04_knn"
-_MODULES = [search, knowledge, voting, statistics, structures, live, records]
+_MODULES = [checks, search, knowledge, voting, statistics, structures, live, records]
 
 
 def queries() -> dict:

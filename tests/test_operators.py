@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -152,9 +153,24 @@ def test_leaves_and_paths(spark):
 
 
 def test_violations(spark):
-    rows = [(1, '{"tier_0_classification": {"content_type": "odd", "media_type": null, "difficulty_score": 11}}'), (2, "{"), (3, None)]
-    got = {(r["response_id"], r["check"], r["path"].split(".")[-1]) for r in validation.violations(spark.createDataFrame(rows, "response_id long, j string"), "response_id", "j").collect()}
-    assert got == {(1, "enum", "content_type"), (1, "required", "media_type"), (1, "range", "difficulty_score"), (1, "required", "answer_validation"), (2, "json", "$")}
+    record = {
+        "question_id": "q", "exam_name": "e", "subject": None, "year": 1, "question_text": "t",
+        "tier_0_classification": {"content_type": "odd", "media_type": None, "difficulty_score": 11, "complexity_flags": {"ambiguous_wording": 1}, "use_gpt51": True, "classification_confidence": 1, "weight_strategy": "BALANCED"},
+        "tier_1_core_research": {"hierarchical_tags": {"subject": {}, "topic": None, "concepts": [{"name": "n", "importance": 5}, "x", None, {"name": None}]}, "difficulty_analysis": {"overall": None, "score": True}},
+        "tier_2_student_learning": {"flashcards": [], "common_mistakes": {}}, "tier_3_enhanced_learning": [],
+    }
+    rows = [(1, json.dumps(record)), (2, "{"), (3, None), (4, "[]")]
+    got = {(r["response_id"], r["check"], r["path"]) for r in validation.violations(spark.createDataFrame(rows, "response_id long, j string"), "response_id", "j").collect()}
+    t0, t1, t2 = "tier_0_classification", "tier_1_core_research", "tier_2_student_learning"
+    want = {
+        (2, "json", "$"), (4, "json", "$"), (1, "required", "question_type"), (1, "required", "tier_4_metadata_and_future"), (1, "type", "tier_3_enhanced_learning"),
+        (1, "enum", f"{t0}.content_type"), (1, "null", f"{t0}.media_type"), (1, "enum", f"{t0}.media_type"), (1, "range", f"{t0}.difficulty_score"), (1, "type", f"{t0}.classification_confidence"),
+        (1, "required", f"{t0}.classification_reasoning"), (1, "type", f"{t0}.complexity_flags.ambiguous_wording"), (1, "required", f"{t0}.complexity_flags.edge_case_scenario"),
+        (1, "type", f"{t1}.hierarchical_tags.concepts[0].importance"), (1, "element", f"{t1}.hierarchical_tags.concepts[1]"), (1, "element", f"{t1}.hierarchical_tags.concepts[2]"),
+        (1, "required", f"{t1}.hierarchical_tags.concepts[3].importance"), (1, "enum", f"{t1}.difficulty_analysis.overall"), (1, "type", f"{t2}.common_mistakes"), (1, "required", f"{t2}.exam_strategy"),
+    }
+    assert want <= got
+    assert not {g for g in got if g[2] in (f"{t1}.hierarchical_tags.topic", f"{t1}.difficulty_analysis.score", f"{t0}.use_gpt51", "subject")}
 
 
 def test_telemetry_boundaries(spark):
