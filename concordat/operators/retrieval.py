@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import text as tx
-from concordat.runtime import cut_lineage
+from concordat.runtime import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -39,20 +39,30 @@ def corpus_stats(lengths: DataFrame, doc_id: str) -> DataFrame:
 def bm25(queries: DataFrame, documents: DataFrame, query_id: str, query_text: str, doc_id: str, text: str) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document that shares a keyword with the query; a query's words count once.
 
-    An equi-join on the term, and one partially aggregated sum. The corpus
-    statistics are one row read on the driver.
+    Texts are split once. Of a document only its length and its uses of asked words go on: the asked words, whose
+    size is checked, meet the exploded words before anything is shuffled. Rows of one doc_id are one document;
+    a null doc_id is none, null texts have length 0 and count for the average.
     """
-    # texts are read once: lengths, frequencies and averages all come from the written postings
-    postings = cut_lineage(term_frequencies(documents, doc_id, text))
-    lengths = postings.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
-    n = float(documents.agg(F.count_distinct(doc_id).alias("n")).first()["n"])
-    avgdl = float(postings.agg(F.sum("tf").alias("s")).first()["s"] or 0) / (n or 1.0) or 1.0
-    asked = queries.select(query_id, F.explode(F.array_distinct(tx.keywords(query_text))).alias("term"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = cut_lineage(queries.select(query_id, F.explode(F.array_distinct(tx.keywords(query_text))).alias("term")))
+    wanted = asked.select(F.col("term").alias("asked")).distinct()
+    wanted = broadcast_if_small(wanted, wanted.count(), 64)
+    # the words are worked out once: what is exploded is not repeated wherever it is used
+    split = documents.where(F.col(doc_id).isNotNull()).select(doc_id, F.explode(F.array(tx.keywords(text))).alias("words"))
+    uses = split.select(doc_id, F.size("words").alias("dl"), F.posexplode_outer("words").alias("pos", "word")).join(wanted, F.col("word") == F.col("asked"), "left")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    kept = uses.where(first | F.col("asked").isNotNull()).select(doc_id, "asked", F.when(first, F.col("dl")).otherwise(0).alias("dl"))
+    per_term = kept.groupBy(doc_id, "asked").agg(F.count("asked").alias("tf"), F.sum("dl").alias("dl"))
+    terms = F.collect_list(F.when(F.col("asked").isNotNull(), F.struct(F.col("asked").alias("term"), "tf")))
+    docs = cut_lineage(per_term.groupBy(doc_id).agg(F.sum("dl").alias("dl"), terms.alias("terms")))
+    size = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("s")).first()
+    n = float(size["n"])
+    avgdl = float(size["s"] or 0) / (n or 1.0) or 1.0
+    hits = docs.select(doc_id, "dl", F.inline("terms"))
+    df = cut_lineage(hits.groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    hits = asked.join(postings, "term").join(df, "term").join(lengths, doc_id)
-    return hits.groupBy(query_id, doc_id).agg(F.sum(weight).alias("score")).where("score > 0")
+    asked = asked.join(broadcast_if_small(df, df.count(), 64), "term")
+    return hits.join(broadcast_if_small(asked, asked.count(), 96), "term").groupBy(query_id, doc_id).agg(F.sum(weight).alias("score")).where("score > 0")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, query_id: str, doc_id: str, k: int = 6) -> DataFrame:
@@ -66,46 +76,62 @@ def fuse(dense: DataFrame, sparse: DataFrame, query_id: str, doc_id: str, k: int
     return top_k(scored.withColumn("relevance", F.least(F.col("hybrid_score") * 30, F.lit(1.0))), query_id, "hybrid_score", doc_id, k)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, vec_id: str, vector: str, k: int, threshold: float = -2.0, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, vec_id: str, vector: str, k: int, threshold: float = -2.0, most_shared: int = BROADCAST_BYTES) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the k most similar vectors of each query by cosine, itself left out.
 
-    A stated query set against all rows, block by block: rows are packed into
-    blocks of vectors, every block of queries meets every block of rows in a task of
-    its own, and only its k best per query go on. A vector without length has
-    similarity 0; null vectors are left out.
+    A stated query set against all rows. While the queries take at most ``most_shared`` bytes they are sent to the
+    tasks, which read the corpus once and keep the k best of each query; more queries are cut into blocks of that
+    size, and the corpus is read once per block. A vector without length has similarity 0, a null vector or id is
+    left out; scores equal to eight places go by the smaller id. All vectors must have one length.
     """
-    spark_hash = lambda n: F.pmod(F.xxhash64(vec_id), F.lit(n)).cast("int")
-    n_queries, n_rows = queries.count(), corpus.count()
-    q_blocks, c_blocks = max(1, -(-n_queries // block)), max(1, -(-n_rows // (4 * block)))
+    there = lambda frame: frame.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked, rows = there(queries).dropDuplicates(["id"]), there(corpus)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    blocks = max(1, -(-(size["n"] * ((size["dim"] or 0) + 1) * 8) // most_shared))
+    found = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        best = _nearest_of(part, rows, vec_id, k, threshold)
+        found = best if found is None else found.unionByName(best)
+    return top_k(found, "query_id", "score", vec_id, k)
+
 
-    def packed(frame: DataFrame, n: int, side: str, others: str, n_others: int) -> DataFrame:
-        rows = frame.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), spark_hash(n).alias(side))
-        blocks = rows.groupBy(side).agg(F.collect_list(F.struct("id", "v")).alias(f"{side}_rows"))
-        return blocks.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1))))
+def _units(ids: pa.Array, vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return ids.to_numpy(zero_copy_only=False), np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    pairs = packed(queries, q_blocks, "q", "c", c_blocks).join(packed(corpus, c_blocks, "c", "q", q_blocks), ["q", "c"])
 
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r["id"] for r in rows], np.int64)
-        m = np.array([r["v"] for r in rows], np.float64)
-        size = np.sqrt((m * m).sum(1, keepdims=True))
-        return ids, np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+def _nearest_of(asked: DataFrame, rows: DataFrame, vec_id: str, k: int, threshold: float) -> DataFrame:
+    """The k best of every task for each query of a block whose size is checked."""
+    block = asked.orderBy("id").toArrow().combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in block.columns]
+    shared = asked.sparkSession.sparkContext.broadcast(_units(*columns) if len(block) else (np.zeros(0, np.int64), np.zeros((0, 1))))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units = shared.value
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, id, score
+        least = np.full(len(names), threshold)
         for batch in batches:
-            for a, b in zip(batch["q_rows"], batch["c_rows"], strict=True):
-                (qi, qm), (ci, cm) = unit(a), unit(b)
-                s = np.clip(qm @ cm.T, -1, 1)
-                s[qi[:, None] == ci[None]] = -np.inf
-                top = np.argsort(-np.round(s, 8), axis=1, kind="stable")[:, : k + 8] if s.shape[1] > k + 8 else np.tile(np.arange(s.shape[1]), (len(qi), 1))
-                got = np.take_along_axis(s, top, 1)
-                keep = (got >= threshold) & np.isfinite(got)
-                yield pd.DataFrame({"query_id": np.repeat(qi, keep.sum(1)), vec_id: ci[top[keep]], "score": got[keep]})
-
-    # equal scores at a block's edge: ids ascend within a block, so ties keep the smallest
-    ordered = pairs.withColumn("c_rows", F.array_sort("c_rows"))
-    found = ordered.select("q_rows", "c_rows").mapInPandas(best, f"query_id long, `{vec_id}` long, score double")
-    return top_k(found, "query_id", "score", vec_id, k)
+            if not len(batch) or not len(names):
+                continue
+            ids, m = _units(batch.column(0), batch.column(1))
+            for low in range(0, len(names), 2048):
+                s = np.clip(units[low : low + 2048] @ m.T, -1, 1)
+                s[names[low : low + 2048, None] == ids[None]] = -np.inf
+                q, at = np.nonzero((np.round(s, 8) >= np.round(least[low : low + 2048, None], 8)) & (s >= threshold))
+                new = (q + low, ids[at], s[q, at])
+                kept = tuple(np.concatenate(x) for x in zip(kept, new, strict=True))
+            order = np.lexsort((kept[1], -np.round(kept[2], 8), kept[0]))
+            kept = tuple(x[order] for x in kept)
+            start = np.flatnonzero(np.concatenate([[True], kept[0][1:] != kept[0][:-1]])) if len(order) else order
+            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            kept = tuple(x[place < k] for x in kept)
+            full = place[place < k] == k - 1
+            least[kept[0][full]] = kept[2][full]
+        yield pa.RecordBatch.from_arrays([pa.array(names[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", vec_id, "score"])
+
+    return rows.mapInArrow(best, f"query_id long, `{vec_id}` long, score double")
 
 
 def cache_lookup(queries: DataFrame, corpus: DataFrame, vec_id: str, vector: str, threshold: float) -> DataFrame:

@@ -11,7 +11,7 @@ from concordat.operators import retrieval as rt
 from concordat.operators import similarity as sm
 from concordat.operators.records import embedding_text
 from concordat.plans.base import Registry
-from concordat.runtime import table
+from concordat.runtime import cut_lineage, table
 
 _R = Registry()
 QUERIES, SQL = _R.QUERIES, _R.SQL
@@ -73,7 +73,7 @@ def agg_02_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked_sources(spark: SparkSession, sf_dir: str):
     """The two lists that are fused: book and video notes first in one, everything in the other."""
-    scored = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    scored = cut_lineage(_bm25(spark, sf_dir)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     notes = rt.top_k(scored.where(F.col("source").isin("book_note", "video_note")), "question_id", "score", "doc_id", 10)
     return notes, rt.top_k(scored, "question_id", "score", "doc_id", 10)
 
@@ -105,6 +105,33 @@ def agg_43_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("hybrid_score"), 8).alias("mean_score"))
 
 
+_HYBRID = (
+    "with " + _WORDS.replace("ask as (select distinct question_id", "ask as (select distinct doc_id as question_id").replace(_SPLIT.format("question_text"), _SPLIT.format("subject"))
+    .replace("from question\n", "from documents\n").replace("where question_text is not null and try_cast(regexp_extract(question_id, 'Q([0-9]+)$', 1) as int) % 20 = 0", "where subject is not null and doc_id % 20 = 0 and doc_id in (select vec_id from embeddings)")
+    + """,
+pairs as (select a.vec_id as question_id, b.vec_id as doc_id,
+  list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))) as score
+  from embeddings a, embeddings b where a.vec_id in (select doc_id from documents where subject is not null and doc_id % 20 = 0) and a.vec_id <> b.vec_id),
+d as (select * from (select question_id, doc_id, row_number() over (partition by question_id order by round(score, 8) desc, doc_id) as dense_rank from pairs) where dense_rank <= 10),
+p as (select * from (select question_id, doc_id, row_number() over (partition by question_id order by round(score, 8) desc, doc_id) as sparse_rank from score where score > 0) where sparse_rank <= 10),
+f as (select coalesce(d.question_id, p.question_id) as query_id, coalesce(d.doc_id, p.doc_id) as doc_id, dense_rank, sparse_rank,
+        coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + sparse_rank), 0) as hybrid
+      from d full outer join p on d.question_id = p.question_id and d.doc_id = p.doc_id)
+select query_id, doc_id, dense_rank, sparse_rank, rank from (select *, row_number() over (partition by query_id order by round(hybrid, 8) desc, doc_id) as rank from f) where rank <= 6"""
+)
+
+
+@_R.query(_HYBRID)
+def jon_05_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and keyword search fused: documents whose id is divisible by 20 ask by their vector and by the words of their subject."""
+    documents, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    asking = documents.where("subject is not null and doc_id % 20 = 0").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asking = cut_lineage(asking.select(F.col("doc_id").alias("query_id"), "subject", "embedding"))
+    dense = rt.nearest(asking.select(F.col("query_id").alias("vec_id"), "embedding"), vectors, "vec_id", "embedding", 10).withColumnRenamed("vec_id", "doc_id")
+    sparse = rt.top_k(rt.bm25(asking, documents, "query_id", "subject", "doc_id", "text"), "query_id", "score", "doc_id", 10)
+    return rt.fuse(dense, sparse, "query_id", "doc_id").select("query_id", "doc_id", "dense_rank", "sparse_rank", "rank")
+
+
 _KNN = """with pairs as (select a.vec_id as query_id, b.vec_id,
   list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))) as score
   from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)

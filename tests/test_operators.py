@@ -104,7 +104,7 @@ def test_nearest_matches_brute_force_over_many_blocks(spark):
     r = random.Random(1)
     data = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(200)] + [(900, [0.0] * 4)]
     frame = spark.createDataFrame(data, "id long, v array<float>")
-    got = retrieval.nearest(frame.where("id % 20 = 0"), frame, "id", "v", 3, block=8)
+    got = retrieval.nearest(frame.where("id % 20 = 0"), frame, "id", "v", 3, most_shared=200)
 
     def cos(a, b):
         n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
