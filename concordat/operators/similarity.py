@@ -1,10 +1,9 @@
-"""Fuzzy text agreement inside small groups: sequence ratio, greedy clusters, merged texts."""
+"""Fuzzy agreement of texts within groups of any size: sequence ratio, linked texts, merged texts."""
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from concordat.functions import text as tx
+from concordat.operators.components import connected_components
 from concordat.runtime import cut_lineage
 
 
@@ -36,73 +36,70 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def greedy_groups(texts: list[str], threshold: float) -> list[int]:
-    """Number of the first earlier text at least this similar, itself where there is none."""
-    heads: list[int] = []
-    out = []
-    for i, t in enumerate(texts):
-        head = next((h for h in heads if texts[h] == t or ratio(texts[h], t) >= threshold), None)
-        if head is None:
-            heads.append(i)
-            head = i
-        out.append(head)
-    return out
+def similar_pairs(texts: DataFrame, keys: list[str], row_id: str, plain_text: str, threshold: float, shared_words: float = 0.7) -> DataFrame:
+    """``(a, b)``: ids, the smaller first, of plain texts of one group that share words and have a sequence ratio of ``threshold``.
+
+    Two texts whose sets of words have a Jaccard similarity of ``shared_words`` must share one of their rarest
+    words, as many as could be missing and one more; so texts meet by an equi-join on those words within their group, no text meets
+    all others, and no pair above both limits is lost. ``row_id`` must be unique; blank texts have no partner.
+    """
+    words = texts.select(*keys, F.col(row_id).alias("id"), F.explode(F.array_distinct(F.split(plain_text, " "))).alias("word")).where("word <> ''")
+    counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    # a text is gathered to its own words, no more
+    rare_first = words.join(counts, [*keys, "word"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
+    size = F.size("words")
+    spare = size - F.ceil(F.lit(shared_words) * size - F.lit(1e-9)).cast("int") + 1
+    marks = cut_lineage(rare_first.select(*keys, "id", size.alias("size"), F.explode(F.slice("words", F.lit(1), spare)).alias("m")).select(*keys, "id", "size", "m.word"))
+    other = marks.select(*keys, "word", F.col("id").alias("b"), F.col("size").alias("size_b"))
+    near = (F.col("id") < F.col("b")) & (F.least("size", "size_b") >= F.lit(shared_words - 1e-9) * F.greatest("size", "size_b"))
+    pairs = marks.join(other, [*keys, "word"]).where(near).select(F.col("id").alias("a"), "b").distinct()
+    side = lambda name: texts.select(F.col(row_id).alias(name), F.col(plain_text).alias(f"text_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = met.where(jaccard(F.array_distinct(F.split("text_a", " ")), F.array_distinct(F.split("text_b", " "))) >= shared_words - 1e-9)
+    return alike.where(sequence_ratio("text_a", "text_b") >= threshold).select("a", "b")
+
+
+def similar_groups(texts: DataFrame, keys: list[str], plain_text: str, threshold: float) -> DataFrame:
+    """``texts`` with ``group``, equal on texts that similar ones link, directly or through others; each distinct row has one."""
+    numbered = cut_lineage(texts.withColumn("_id", F.monotonically_increasing_id()))
+    linked = connected_components(similar_pairs(numbered, keys, "_id", plain_text, threshold), "a", "b")
+    return numbered.join(linked.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("group", F.coalesce("component", "_id")).drop("_id", "component")
 
 
 def agreement(rows: DataFrame, keys: list[str], text: str, weight: str, threshold: float = 0.85) -> DataFrame:
     """``(keys, most_common, consensus_score, n_groups)`` of the texts that models give for one field.
 
-    Texts are first collapsed by their plain form (a partial aggregate), then
-    grouped greedily by weight and text; the score is the largest group's share of
-    all weight, the text the group's first. All distinct texts of a block are gathered in
-    one task and compared in pairs, so a block must stay small; nothing enforces it.
+    Texts are first collapsed by their plain form (a partial aggregate), then linked where they are similar; the
+    score is the heaviest group's share of all weight, the text the first of its heaviest. Blank and null texts
+    take no part; a group of any size is compared by joins on rare words.
     """
-    plain_key = tx.normalised(text)
-    kinds = rows.groupBy(*keys, plain_key.alias("p")).agg(F.min(text).alias("t"), F.sum(weight).alias("w")).where("p is not null and p <> ''")
-    gathered = kinds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "t", "p"))).alias("items"))
-    names = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            best, score, n = [], [], []
-            for items in batch["items"]:
-                heads = greedy_groups([i["p"] for i in items], threshold)
-                sums: dict[int, float] = {}
-                for h, i in zip(heads, items, strict=True):
-                    sums[h] = sums.get(h, 0.0) - i["o"]
-                top = min(sums, key=lambda h: (-round(sums[h], 10), h))
-                total = sum(sums.values())
-                best.append(items[top]["t"])
-                score.append(sums[top] / total if total else 0.0)
-                n.append(len(sums))
-            yield batch[keys].assign(most_common=best, consensus_score=score, n_groups=n)
-
-    return gathered.mapInPandas(run, ", ".join([*names, "most_common string", "consensus_score double", "n_groups long"]))
+    forms = rows.groupBy(*keys, tx.normalised(text).alias("p")).agg(F.min(text).alias("t"), F.sum(weight).alias("w")).where("p is not null and p <> ''")
+    groups = similar_groups(forms, keys, "p", threshold).groupBy(*keys, "group").agg(
+        F.sum("w").alias("w"), F.min(F.struct((-F.round("w", 10)).alias("o"), F.col("t"))).alias("head")
+    )
+    best = F.min(F.struct((-F.round("w", 10)).alias("o"), F.col("head.t").alias("t"), F.col("w"))).alias("best")
+    out = groups.groupBy(*keys).agg(best, F.sum("w").alias("all"), F.count("*").alias("n_groups"))
+    score = F.when(F.col("all") == 0, 0.0).otherwise(F.col("best.w") / F.col("all"))
+    return out.select(*keys, F.col("best.t").alias("most_common"), score.alias("consensus_score"), "n_groups")
 
 
 def merged_sentences(rows: DataFrame, keys: list[str], text: str, weight: str, threshold: float = 0.8, min_agreement: int = 2) -> DataFrame:
-    """``(keys, merged)``: sentences that at least two texts share up to similarity, heaviest first; else the heaviest text."""
-    names = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-    listed = rows.where(F.col(text).isNotNull()).select(*keys, F.col(weight).alias("w"), F.col(text).alias("t"), tx.sentences(text).alias("s"))
-    gathered = listed.groupBy(*keys, "t", "s").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-    gathered = gathered.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "t", "s", "n"))).alias("texts"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            merged = []
-            for texts in batch["texts"]:
-                parts = [(plain(s), s, -t["o"], int(t["n"])) for t in texts for s in t["s"]]
-                heads = greedy_groups([p[0] for p in parts], threshold)
-                weight_of: dict[int, float] = {}
-                count_of: dict[int, int] = {}
-                for h, p in zip(heads, parts, strict=True):
-                    weight_of[h] = weight_of.get(h, 0.0) + p[2]
-                    count_of[h] = count_of.get(h, 0) + p[3]
-                kept = sorted((h for h in count_of if count_of[h] >= min_agreement and parts[h][0]), key=lambda h: (-round(weight_of[h], 10), h))
-                merged.append(". ".join(parts[h][1] for h in kept) + "." if kept else texts[0]["t"])
-            yield batch[keys].assign(merged=merged)
-
-    return gathered.mapInPandas(run, ", ".join([*names, "merged string"]))
+    """``(keys, merged)``: sentences that at least two texts share up to similarity, heaviest first; else the heaviest text.
+
+    Sentences are collapsed by their plain form before they are compared. Only the sentences kept for a merged
+    text are gathered: they are that text.
+    """
+    listed = rows.where(F.col(text).isNotNull()).select(*keys, F.col(weight).alias("w"), F.col(text).alias("t"))
+    texts = cut_lineage(listed.groupBy(*keys, "t").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
+    split = texts.select(*keys, "w", "n", F.explode(tx.sentences("t")).alias("s"))
+    forms = split.groupBy(*keys, tx.normalised("s").alias("p")).agg(F.min("s").alias("s"), F.sum("w").alias("w"), F.sum("n").alias("n")).where("p <> ''")
+    groups = similar_groups(forms, keys, "p", threshold).groupBy(*keys, "group").agg(
+        F.sum("w").alias("w"), F.sum("n").alias("n"), F.min(F.struct((-F.round("w", 10)).alias("o"), F.col("s"))).alias("head")
+    )
+    kept = groups.where(F.col("n") >= min_agreement).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.round("w", 10)).alias("o"), F.col("head.s").alias("s")))).alias("kept"))
+    heaviest = texts.groupBy(*keys).agg(F.min(F.struct((-F.round("w", 10)).alias("o"), "t")).alias("first"))
+    joined = F.concat(F.array_join(F.transform("kept", lambda k: k["s"]), ". "), F.lit("."))
+    return heaviest.join(kept, keys, "left").select(*keys, F.coalesce(joined, F.col("first.t")).alias("merged"))
 
 
 def top_keywords(rows: DataFrame, row_id: str, text: str, n: int = 5) -> DataFrame:

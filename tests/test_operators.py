@@ -205,3 +205,22 @@ def test_provider_errors_stay_in_their_row(spark):
         return "ok", 0, 0
 
     assert with_retries(third, delay=0)("m", "p")[0] == "ok"
+
+
+def test_similar_pairs_are_those_of_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    bank = "lift drag wing tail flow plate shear load grows falls the of with until small large".split()
+    texts = [" ".join(r.choice(bank) for _ in range(r.randint(4, 9))) for _ in range(40)]
+    texts = sorted({*texts, *[t + " again" for t in texts], *[t.replace("wing", "tail") for t in texts]})
+    rows = [(i, i // 70, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, g int, p string")
+    got = {(x["a"], x["b"]) for x in similarity.similar_pairs(frame, ["g"], "id", "p", 0.8).collect()}
+    words = lambda t: set(t.split())
+    want = {
+        (i, j) for (i, g, a), (j, h, b) in itertools.combinations(rows, 2)
+        if g == h and len(words(a) & words(b)) / len(words(a) | words(b)) >= 0.7 - 1e-9 and similarity.ratio(a, b) >= 0.8
+    }
+    assert got == want and len(want) > 10
