@@ -32,7 +32,9 @@ def texts_of(responses: DataFrame) -> DataFrame:
 # Words of every sentence: numbers are one word, marks at the ends of words are dropped.
 _SENTENCES = r"""
 select response_id, channel, field_name, pos, text,
-       rtrim(text) rlike '[.?!∎)\\]}”»"]$' and not rtrim(text) rlike '([0-9]\\.|\\.\\.\\.|\\[[^\\]]*\\.\\.\\.\\]|[\\[(](more|cut|truncated|continued|…)[\\])])$' as closed
+       rtrim(text) rlike '[.?!∎]$' and not rtrim(text) rlike '([0-9]\\.|\\.\\.\\.)$' as closed,
+       -- an end that may be whole as well as cut: only the trigram test speaks about it
+       rtrim(text) rlike '[)\\]}”»"]$' and not rtrim(text) rlike '(\\[[^\\]]*\\.\\.\\.\\]|[\\[(](more|cut|truncated|continued|…)[\\])])$' as bracketed
 from @texts
 """
 
@@ -65,7 +67,7 @@ from @grams group by o, f, a, b, w
 _OPEN = "select * from @sentences where not closed"
 
 _TAILS = r"""
-select response_id, channel, field_name, pos, length(text) as len, rtrim(text) rlike '{marked}' as marked, rtrim(text) rlike '[.?!]$' as stopped,
+select response_id, channel, field_name, pos, length(text) as len, bracketed, rtrim(text) rlike '{marked}' as marked, rtrim(text) rlike '[.?!]$' as stopped,
        coalesce(text rlike '\n|;\\s|^\\s*[-*•]\\s' and not text rlike '[.?!]\\s', false) as listed,
        if(size(u) > 1, u[1], '') as o, u[0] as f,
        if(size(u) > 2, u[size(u) - 3], '^') as a, if(size(u) > 1, u[size(u) - 2], '^') as b, u[size(u) - 1] as w
@@ -118,10 +120,11 @@ _NEVER_ENDS = (
 _OFTEN_OPEN = r"coalesce(\1.open - 1 > \1.inside and \1.open - 1 >= 0.2 * \1.closed, false)"
 
 _REASONS = """
-select t.response_id, t.field_name, t.pos, t.channel, t.len, t.stopped,
-       case when t.marked then 'marked' when j.part_of_word then 'within a word' 
-            -- items of a list carry no full stop, so there the trigram and the item's first word must agree
-            when j.never_ends and not (t.listed and (j.ends_elsewhere or j.ends_such_items)) then 'within a sentence'
+select t.response_id, t.field_name, t.pos, t.channel, t.len, t.stopped or t.bracketed as stopped,
+       -- the trigram test comes first; items of a list carry no full stop, so there it and the item's first word must agree
+       case when j.never_ends and not (t.listed and (j.ends_elsewhere or j.ends_such_items)) then 'within a sentence'
+            when t.bracketed then null
+            when t.marked then 'marked' when j.part_of_word then 'within a word'
             when not t.listed and not t.stopped and not j.often_open then 'without its end' end as reason
 from @tails t join @judged j on t.o = j.o and t.f = j.f and t.a = j.a and t.b = j.b and t.w = j.w
 """
@@ -152,6 +155,8 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     as the beginning of longer words, where a cut mark is left, where it is no list
     and its last trigram is usually not the open end of a text, or where its length is a limit at which the source's texts pile up unclosed.
 
+    A text that ends on a closing bracket or quote may be whole or cut, so there only the trigram test speaks.
+
     Null and blank texts are no cases, a null channel is a source of its own,
     repeated rows give repeated findings, an empty table gives no rows.
     """
@@ -170,11 +175,18 @@ def truncated_texts(responses: DataFrame, min_support: int = 3, max_end_share: f
     return sql_over(_VERDICT, reasons=reasons, limits=limits).where("reason is not null")
 
 
+#: Reasons for a find and the columns that count them per source.
+REASONS = {"within a sentence": "in_sentence", "within a word": "in_word", "marked": "marked", "without its end": "without_end", "field limit": "at_limit"}
+
+
 def truncation_by_source(responses: DataFrame, **options: object) -> DataFrame:
-    """``(channel, field_name, n_texts, n_cut, cut_share)``: how often each source cuts each field."""
-    cut = truncated_texts(responses, **options).groupBy("channel", "field_name").count().withColumnRenamed("count", "n_cut")
+    """``(channel, field_name, n_texts, n_cut, cut_share, <one count per reason>)``: how often each source cuts each field, and what told."""
+    by_reason = [f"count_if(reason = '{r}') as {c}" for r, c in REASONS.items()]
+    found = truncated_texts(responses, **options).selectExpr("channel", "field_name", "reason")
+    cut = sql_over(f"select channel, field_name, count(*) as n_cut, {', '.join(by_reason)} from @found group by 1, 2", found=found)
+    zero = ", ".join(f"coalesce(c.{c}, 0) as {c}" for c in REASONS.values())
     return sql_over(
-        """select t.channel, t.field_name, t.n_texts, coalesce(c.n_cut, 0) as n_cut, coalesce(c.n_cut, 0) / t.n_texts as cut_share
+        f"""select t.channel, t.field_name, t.n_texts, coalesce(c.n_cut, 0) as n_cut, coalesce(c.n_cut, 0) / t.n_texts as cut_share, {zero}
            from (select channel, field_name, count(*) as n_texts from @texts group by 1, 2) t
            left join @cut c on t.channel <=> c.channel and t.field_name = c.field_name""",
         texts=texts_of(responses),
