@@ -44,7 +44,7 @@ def test_the_open_end_of_a_text_is_no_evidence_for_itself(spark):
 
 
 def test_a_closing_bracket_or_quote_does_not_hide_a_cut(spark):
-    whole = [(500 + i, "api", f"The lift of the swept (thin) wing grows with speed. See the “flat” plate of figure {i} (left side)", None) for i in range(30)]
+    whole = [(500 + i, "api", f"The lift of the swept (thin) wing grows with speed. Then see the “flat” plate of figure {i} (left side)", None) for i in range(30)]
     more = [*whole, (600, "feed", "The lift of the swept (thin)", None), (601, "feed", 'Then see the “flat”', None)]
     got = found(corpus(spark, more))
     assert got == {(600, "reasoning", -1): "within a sentence", (601, "reasoning", -1): "within a sentence"}
