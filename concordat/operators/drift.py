@@ -49,7 +49,7 @@ def ingest(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     which a readable one is kept; lines without these stand each for itself under null.
     Extra columns are ignored, an empty table stays empty.
     """
-    is_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
+    is_object = F.ltrim("payload").startswith("{") & F.try_parse_json("payload").isNotNull()
     readable = lines.select(*FILE, "line_no", "payload").where(is_object)
     keyed = F.col("feed").isNotNull() & F.col("file_no").isNotNull() & F.col("line_no").isNotNull()
     once = readable.where(keyed).groupBy(*FILE, "line_no").agg(F.min("payload").alias("payload"))

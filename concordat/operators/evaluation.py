@@ -68,28 +68,34 @@ def effect_label(d: Column) -> Column:
     return F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large")
 
 
-def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, confidence: float = 0.95, resamples: int = 200, seed: int = 1) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, confidence: float = 0.95, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """``(keys, mean, low, high)``: percentile interval of the mean.
 
-    Each row draws its Poisson(1) count for every resample where it lies, so a
-    resample is two partial sums per group and no group gathers in one task.
+    Each row draws its Poisson(1) count for every resample where it lies, from a hash of the row and the resample
+    alone, so that results do not change with the partitioning. A resample is two partial sums per group and no
+    group gathers in one task. Equal rows draw alike; rows without a value take no part.
     """
     kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    # chances of at most 0, 1, 2 ... draws
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = np.arange(resamples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
         for batch in batches:
-            if not len(batch):
-                continue
-            hashes = batch["_h"].to_numpy().astype(np.uint64)
-            rng = np.random.Generator(np.random.Philox(key=[seed, int(hashes.sum() & np.uint64(0x7FFFFFFFFFFFFFFF))]))
-            counts = rng.poisson(1.0, (len(batch), resamples))
-            v = batch["_v"].to_numpy()
-            for key, at in batch.groupby(keys, dropna=False).indices.items():
-                c = counts[at]
-                out = pd.DataFrame({"r": np.arange(resamples), "s": (c * v[at, None]).sum(0), "n": c.sum(0)})
-                for k, x in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
-                    out[k] = x
-                yield out[[*keys, "r", "s", "n"]]
+            for low in range(0, len(batch), 2000):
+                part = batch.iloc[low : low + 2000].reset_index(drop=True)
+                with np.errstate(over="ignore"):
+                    h = part["_h"].to_numpy().astype(np.uint64)[:, None] ^ salt[None]
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                counts = np.searchsorted(steps, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+                v = part["_v"].to_numpy()
+                for key, at in part.groupby(keys, dropna=False).indices.items():
+                    c = counts[at]
+                    out = pd.DataFrame({"r": np.arange(resamples), "s": (c * v[at, None]).sum(0), "n": c.sum(0)})
+                    for k, x in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
+                        out[k] = x
+                    yield out[[*keys, "r", "s", "n"]]
 
     usable = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*rows.columns).alias("_h")).where("_v is not null and not isnan(_v)")
     drawn = usable.mapInPandas(draw, ", ".join([*kinds, "r int", "s double", "n long"]))
