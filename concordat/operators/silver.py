@@ -77,16 +77,3 @@ def knowledge_nodes(edges: DataFrame) -> DataFrame:
     """``(node_type, node_id, n)``: nodes by type and id, so that one name of two types stays two nodes."""
     ends = F.array(F.struct(F.col("source_type").alias("node_type"), F.col("source").alias("node_id")), F.struct(F.col("target_type").alias("node_type"), F.col("target").alias("node_id")))
     return edges.select(F.explode(ends).alias("e")).groupBy("e.node_type", "e.node_id").agg(F.count("*").alias("n"))
-
-
-def completeness(rows: DataFrame, row_id: str) -> DataFrame:
-    """``(row_id, fields, filled, share)`` over the scalars of a typed record."""
-    scalars = [
-        "tier_0_classification.content_type", "tier_0_classification.media_type", "tier_0_classification.weight_strategy", "tier_0_classification.difficulty_score",
-        "tier_1_core_research.answer_validation.correct_answer", "tier_1_core_research.answer_validation.confidence", "tier_1_core_research.answer_validation.reasoning",
-        "tier_1_core_research.explanation.question_nature", "tier_1_core_research.hierarchical_tags.subject.name", "tier_2_student_learning.exam_strategy.priority",
-    ]
-    filled = F.lit(0)
-    for s in scalars:
-        filled = filled + F.col(s).isNotNull().cast("int")
-    return rows.select(row_id, F.lit(len(scalars)).alias("fields"), filled.alias("filled"), (filled / len(scalars)).alias("share"))

@@ -44,11 +44,6 @@ def srt_06_top_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degrees(_graph(spark, sf_dir)).orderBy(F.desc("degree"), "node").limit(20)
 
 
-@_R.query()
-def agg_22_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sv.completeness(_typed(spark, sf_dir), "response_id")
-
-
 @_R.query("""select question_id, model_name from (select *, row_number() over (partition by question_id order by n desc, o) as r from
 (select question_id, model_name, count(*) as n, min(response_id) as o from response where trim(model_name) not in ('', 'null', '{}', '[]', '""') group by all)) where r = 1""")
 def agg_11_merged_value(spark: SparkSession, sf_dir: str) -> DataFrame:
