@@ -222,4 +222,4 @@ def jon_09_by_parts_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scl_31_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("question_text", F.lit(""))
     stamp = F.date_format("updated_at", "yyyyMMdd_HHmmss")
-    return table(spark, sf_dir, "question").select("question_id", F.md5(text).alias("digest"), F.base64(text.cast("binary")).alias("encoded"), stamp.alias("stamp"))
+    return table(spark, sf_dir, "question").select("question_id", F.md5(text).alias("digest"), F.translate(F.base64(text.cast("binary")), "\r\n", "").alias("encoded"), stamp.alias("stamp"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.plans.base import Registry
-from concordat.runtime import ensure_checkpoint_dir
+from concordat.runtime import shared_folder
 from concordat.streaming import telemetry as st
 
 _R = Registry()
@@ -17,8 +15,7 @@ QUERIES, SQL = _R.QUERIES, _R.SQL
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Output and progress go to the folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     if mode == "append":
         st.run_available(stream, f"{base}/out", f"{base}/progress")
         return spark.read.parquet(f"{base}/out")

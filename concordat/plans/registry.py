@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from concordat.plans import annotations, checks, knowledge, live, records, search, statistics, structures, voting
+from concordat.plans import annotations, checks, knowledge, live, records, search, statistics, storage, structures, voting
 
 FLAGSHIP = "srt_04_knn"
-_MODULES = [annotations, checks, search, knowledge, voting, statistics, structures, live, records]
+_MODULES = [annotations, checks, storage, search, knowledge, voting, statistics, structures, live, records]
 
 
 def queries() -> dict:

@@ -31,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path beside the checkpoints, which all executors can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the checkpoint folder and go on from those files."""
     ensure_checkpoint_dir(frame.sparkSession)

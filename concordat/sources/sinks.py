@@ -42,6 +42,27 @@ def tagged(frame: DataFrame) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
 
 
+def untagged(text: Column, schema: str) -> Column:
+    """Struct of the fields of a DDL schema out of JSON of type-tagged values; absent fields are null."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    tags = {"string": "S", "boolean": "BOOL"}
+    one = lambda name, kind: F.try_variant_get(F.try_parse_json(text), f"$.{name}.{tags.get(kind, 'L' if kind.startswith('array') else 'N')}", "string" if kind not in ("boolean",) and not kind.startswith("array") else kind)
+    return F.struct(*[one(n, k).try_cast(k).alias(n) if not k.startswith("array") else one(n, k).alias(n) for n, k in fields])
+
+
+def metadata_row(records: Column, paths: dict[str, str]) -> Column:
+    """Struct of single values out of JSON records, by name and path, as text."""
+    v = F.try_parse_json(records)
+    return F.struct(*[F.try_variant_get(v, f"$.{p}", "string").alias(n) for n, p in paths.items()])
+
+
+def write_latest(frame: DataFrame, path: str, version: str, key: str) -> None:
+    """Append one version as gzipped JSON, then replace the pointer that names the newest version of each record."""
+    frame.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").option("compression", "gzip").json(f"{path}/versions")
+    newest = frame.sparkSession.read.json(f"{path}/versions").groupBy(key).agg(F.max(F.col("version").cast("string")).alias("version"))
+    newest.write.mode("overwrite").parquet(f"{path}/latest")
+
+
 def write_all(frame: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
     """Run every sink; a failed one does not stop the others. Returns the errors, raises if none succeeded."""
     errors = {}
