@@ -35,7 +35,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per call: dependent fields move in bundles, and the kept usage must be that of the kept model."""
+    """One record per call: dependent fields move in bundles; both confidences must come by one channel, which may scale them
+    in its own way, and the usage by the channel of the model's name."""
     rows = table(spark, sf_dir, "response").select(
         "response_id", "request_id", "question_id", "generated_at", "received_at", "channel", "confidence", "classification_confidence",
         "model_name", "content_type", "media_type", "weight_strategy", "difficulty_score", "input_tokens", "output_tokens", "cost",
@@ -49,7 +50,7 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = cut_lineage(calls)
     best = sv.best_representatives(
         calls, "call", bundles, sv.Trust("trust_order", "received_at", "response_id"),
-        [sv.Dependency("model_name", "canonical_model", "usage", "canonical_model")],
+        [sv.Dependency("confidence", "channel", "classification_confidence", "channel"), sv.Dependency("model_name", "channel", "usage", "channel")],
     )
     picks = best.select("call", "n_rows", F.col("first_id").alias("first_response_id"), F.explode_outer("kept").alias("bundle", "response_id"))
     fields = {"confidence": ["confidence"], "classification_confidence": ["classification_confidence"], "model_name": ["canonical_model"],
