@@ -49,7 +49,9 @@ def completeness(leaves: DataFrame, row_id: str) -> DataFrame:
     """
     outer = F.regexp_extract("path", r"^((?:`[^`]*`|[^\[`])*)", 1)
     listed = F.length(outer) < F.length("path")
-    filled = F.when(listed, F.col("type") != "null").otherwise(~F.col("value").isin("null", '""', "[]"))
+    # a leaf below an element shows that the element is an object or a list, whatever it holds
+    within = F.substring("path", F.length(outer) + 1, F.length("path")).rlike(r"^\[\d+\].")
+    filled = F.when(listed, within | (F.col("type") != "null")).otherwise(~F.col("value").isin("null", '""', "[]"))
     fields = leaves.where(listed | ~((F.col("type") == "object") & (F.col("value") == "{}"))).groupBy(row_id, outer.alias("field")).agg(F.bool_or(filled).alias("filled"))
     counts = fields.groupBy(row_id).agg(F.count("*").alias("fields"), F.count_if("filled").alias("filled"))
     return counts.withColumn("share", F.col("filled") / F.col("fields"))

@@ -28,6 +28,8 @@ TARGET = {
     "media_type": "text",
 }
 FILE = ("feed", "file_no")
+#: Stands for a null feed within a report, so that joins keep it.
+_NO_FEED = "\u0000"
 
 
 def _kind(value: Column) -> Column:
@@ -73,14 +75,28 @@ def _as_json(field: str, kind: str) -> Column:
     return F.col(field).cast("string")
 
 
-def observations(ingested: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
-    """``(feed, file_no, field, kind, value)``: every field of every ingested line; kind and value are null for a null."""
-    entry = lambda f, k, v: F.struct(f.alias("field"), k.cast("string").alias("kind"), v.cast("string").alias("value"))
-    typed = F.array(*[F.when(F.col(f).isNotNull(), entry(F.lit(f), F.lit(k), _as_json(f, k))) for f, k in target.items()])
-    rescued = F.transform(F.map_entries("_rescued"), lambda e: entry(e["key"], _kind(e["value"]), e["value"]))
-    nulls = F.transform("_nulls", lambda n: entry(n, F.lit(None), F.lit(None)))
-    every = F.concat(F.filter(typed, lambda e: e.isNotNull()), rescued, nulls)
-    return ingested.select(*FILE, F.explode(every).alias("e")).select(*FILE, "e.field", "e.kind", "e.value")
+def kinds_seen(ingested: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """``(feed, file_no, field, kind)``: every field of every ingested line without its value; kind is null for a null."""
+    entry = lambda f, k: F.struct(f.alias("field"), k.cast("string").alias("kind"))
+    typed = F.array(*[F.when(F.col(f).isNotNull(), entry(F.lit(f), F.lit(k))) for f, k in target.items()])
+    rescued = F.transform(F.map_entries("_rescued"), lambda e: entry(e["key"], _kind(e["value"])))
+    every = F.concat(F.filter(typed, lambda e: e.isNotNull()), rescued, F.transform("_nulls", lambda n: entry(n, F.lit(None))))
+    return ingested.select(*FILE, F.inline(every))
+
+
+def contents_of(ingested: DataFrame, fields: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """``(feed, file_no, field, kind, value, <further columns of fields>)``: what the lines of files hold in the given fields.
+
+    ``fields`` has feed, file_no, field and any further columns; its rows of a file, at most a few per field, ride
+    along with the file's lines, and only their values are worked out.
+    """
+    more = [c for c in fields.columns if c not in (*FILE, "field")]
+    wanted = fields.groupBy(*FILE).agg(F.collect_list(F.struct("field", *more)).alias("_wanted"))
+    rows = ingested.join(wanted, list(FILE)).select(*FILE, *target, "_rescued", F.explode("_wanted").alias("_w"))
+    typed = [F.when(F.col("_w.field") == f, F.when(F.col(f).isNotNull(), F.struct(F.lit(k).alias("kind"), _as_json(f, k).alias("value")))) for f, k in target.items()]
+    kept = F.element_at("_rescued", F.col("_w.field"))
+    said = F.coalesce(*typed, F.when(kept.isNotNull(), F.struct(_kind(kept).alias("kind"), kept.alias("value"))))
+    return rows.select(*FILE, "_w.field", said.alias("_s"), *[F.col(f"_w.{c}") for c in more]).where("_s is not null").select(*FILE, "field", "_s.kind", "_s.value", *more)
 
 
 def file_fields(seen: DataFrame, sizes: DataFrame, min_share: float) -> DataFrame:
@@ -123,12 +139,11 @@ def drift_report(
     by the shared share of those (``same_values``), others by the shares of the
     shapes of their values (``same_shapes``); booleans, which always look alike,
     only where the names do. Of several partners the best on both sides counts. A
-    null feed is a feed of its own; files without a readable line are not there.
+    null feed is a feed of its own; lines without a file number belong to no file, files without a readable line are not there.
     """
-    ingested = cut_lineage(lines_ingested)
+    ingested = cut_lineage(lines_ingested.where("file_no is not null").withColumn("feed", F.coalesce("feed", F.lit(_NO_FEED))))
     sizes = ingested.groupBy(*FILE).agg(F.count("*").alias("n_lines"))
-    seen = observations(ingested, target)
-    fields = cut_lineage(file_fields(seen, sizes, min_share))
+    fields = cut_lineage(file_fields(kinds_seen(ingested, target), sizes, min_share))
     order = Window.partitionBy("feed").orderBy("file_no")
     files = sizes.select(*FILE, F.lag("file_no").over(order).alias("before"), F.lead("file_no").over(order).alias("after"))
     now = fields.join(files, list(FILE)).where("before is not null").select("feed", "file_no", "field", F.col("type").alias("new_type"))
@@ -144,10 +159,7 @@ def drift_report(
     went = removed.join(files, ["feed", "file_no"]).select("feed", F.col("before").alias("in_file"), "field", F.col("file_no").alias("change"), F.lit("old").alias("side"))
     moved = came.unionByName(went)
     words, shapes = _atoms(F.col("value"), F.col("kind"))
-    content = (
-        seen.where("value is not null").withColumnRenamed("file_no", "in_file").join(moved, ["feed", "in_file", "field"])
-        .select("feed", "change", "side", "field", words.alias("w"), shapes.alias("s"))
-    )
+    content = contents_of(ingested, moved.withColumnRenamed("in_file", "file_no"), target).select("feed", "change", "side", "field", words.alias("w"), shapes.alias("s"))
     pieces = content.select("feed", "change", "side", "field", F.explode(F.concat(F.transform("w", lambda x: F.struct(F.lit("w").alias("of"), x.alias("atom"))), F.transform("s", lambda x: F.struct(F.lit("s").alias("of"), x.alias("atom"))))).alias("a")).select("feed", "change", "side", "field", "a.of", "a.atom")
     counts = pieces.groupBy("feed", "change", "side", "field", "of", "atom").agg(F.count("*").alias("n"))
     totals = counts.groupBy("feed", "change", "side", "field", "of").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
@@ -181,11 +193,12 @@ def drift_report(
     key = ["feed", "file_no", "field"]
     gone = removed.join(renamed.select("feed", "file_no", F.col("old_field").alias("field")), key, "left_anti")
     come = added.join(renamed.select("feed", "file_no", F.col("new_field").alias("field")), key, "left_anti")
-    return (
+    report = (
         renamed.unionByName(retyped)
         .unionByName(come.select("feed", "file_no", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), F.col("field").alias("new_field")))
         .unionByName(gone.select("feed", "file_no", F.lit("removed").alias("change_kind"), F.col("field").alias("old_field"), F.lit("").alias("new_field")))
     )
+    return report.withColumn("feed", F.nullif("feed", F.lit(_NO_FEED)))
 
 
 def approved_names(report: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:

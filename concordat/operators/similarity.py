@@ -83,6 +83,12 @@ def agreement(rows: DataFrame, keys: list[str], text: str, weight: str, threshol
     return out.select(*keys, F.col("best.t").alias("most_common"), score.alias("consensus_score"), "n_groups")
 
 
+def distinct_items(rows: DataFrame, keys: list[str], pos: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """``(keys, pos)``: of the items of a list that say the same up to similarity, the first; blank and null items are left out."""
+    forms = rows.groupBy(*keys, tx.normalised(text).alias("p")).agg(F.min(pos).alias(pos)).where("p is not null and p <> ''")
+    return similar_groups(forms, keys, "p", threshold).groupBy(*keys, "group").agg(F.min(pos).alias(pos)).select(*keys, pos)
+
+
 def merged_sentences(rows: DataFrame, keys: list[str], text: str, weight: str, threshold: float = 0.8, min_agreement: int = 2) -> DataFrame:
     """``(keys, merged)``: sentences that at least two texts share up to similarity, heaviest first; else the heaviest text.
 

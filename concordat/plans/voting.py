@@ -104,6 +104,13 @@ def agg_37_merged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.merged_sentences(rows, ["question_id"], "t", "w")
 
 
+@_R.query()
+def jon_17_distinct_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of every answer without those that repeat an earlier one."""
+    steps = table(spark, sf_dir, "response").select("response_id", F.posexplode("step_by_step").alias("pos", "t"))
+    return sm.distinct_items(steps, ["response_id"], "pos", "t")
+
+
 @_R.query()
 def prj_19_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.flattened(table(spark, sf_dir, "response"), "response_id", "response_json")

@@ -67,3 +67,8 @@ def test_of_a_line_sent_twice_the_readable_one_is_kept(spark):
     rows = [("f", 1, None, 0, whole[:20]), ("f", 1, None, 0, whole), ("f", 1, None, 1, whole[:9])]
     got = drift.ingest(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r["line_no"], r["model_name"]) for r in got] == [(0, "boreal_r1")]
+
+
+def test_a_null_feed_is_a_feed_of_its_own(spark, files):
+    got = drift.drift_report(drift.ingest(lines(spark, files, None).unionByName(lines(spark, {1: files[4], 4: files[4]}, "g")))).collect()
+    assert {tuple(r) for r in got} == {(None, *c) for c in report(lines(spark, files))}

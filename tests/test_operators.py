@@ -224,3 +224,10 @@ def test_similar_pairs_are_those_of_brute_force(spark):
         if g == h and len(words(a) & words(b)) / len(words(a) | words(b)) >= 0.7 - 1e-9 and similarity.ratio(a, b) >= 0.8
     }
     assert got == want and len(want) > 10
+
+
+def test_items_that_repeat_go(spark):
+    rows = [("a", 0, "The lift of the thin wing grows with speed."), ("a", 1, "the lift of the thin wing grows with speed"), ("a", 2, "Then the drag falls"), ("a", 3, None), ("a", 4, "The lift of the thin wings grows with speed!"), ("b", 0, "the lift of the thin wing grows with speed"), ("b", 1, " ")]
+    got = similarity.distinct_items(spark.createDataFrame(rows, "k string, pos int, t string"), ["k"], "pos", "t")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0), ("a", 2), ("b", 0)]
+    assert similarity.distinct_items(spark.createDataFrame([], "k string, pos int, t string"), ["k"], "pos", "t").count() == 0
