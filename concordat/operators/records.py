@@ -6,10 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.operators.shredding import read_json
+from concordat.runtime import slices
 
 
 def leaf_paths(value, prefix: str = "") -> Iterator[tuple[str, str, str]]:
@@ -31,22 +33,21 @@ def leaf_paths(value, prefix: str = "") -> Iterator[tuple[str, str, str]]:
 def flattened(records: DataFrame, row_id: str, text: str) -> DataFrame:
     """``(row_id, path, type, value)``: every leaf of every readable JSON record, also of one in a fence, prose or quoting."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, body in zip(batch[row_id], batch[text], strict=True):
-                record = read_json(body)
-                if record is None and body.strip() != "null":
-                    continue
-                rows.extend((i, *leaf) for leaf in leaf_paths(record))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=[row_id, "path", "type", "value"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=[row_id, "path", "type", "value"])
+            for part in slices(batch):
+                rows = []
+                for i, body in enumerate(part.column(1).to_pylist()):
+                    record = read_json(body)
+                    if record is not None or body.strip() == "null":
+                        rows.extend((i, *leaf) for leaf in leaf_paths(record))
+                if rows:
+                    at, *columns = zip(*rows, strict=True)
+                    texts = [pa.array(c, pa.string()) for c in columns]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *texts], [row_id, "path", "type", "value"])
 
     kind = records.schema[row_id].dataType.simpleString()
-    return records.where(F.col(text).isNotNull()).select(row_id, text).mapInPandas(run, f"`{row_id}` {kind}, path string, type string, value string")
+    return records.where(F.col(text).isNotNull()).select(row_id, text).mapInArrow(run, f"`{row_id}` {kind}, path string, type string, value string")
 
 
 def field_counts(leaves: DataFrame, row_id: str, records: DataFrame | None = None) -> DataFrame:
