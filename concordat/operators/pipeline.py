@@ -15,7 +15,7 @@ from concordat.runtime import cut_lineage
 
 def context_of(questions: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:
     """``(question_id, context)``: snippets of the best documents of each question, in order of rank."""
-    best = rt.top_k(rt.bm25(questions, documents, "question_id", "question_text", "doc_id", "text"), "question_id", "score", "doc_id", k)
+    best = rt.bm25_best(questions, documents, "question_id", "question_text", "doc_id", "text", k)
     named = best.join(documents.select("doc_id", tx.snippet("text").alias("snippet")), "doc_id")
     entries = F.array_sort(F.collect_list(F.struct("rank", "snippet")))
     return named.groupBy("question_id").agg(F.array_join(F.transform(entries, lambda e: F.concat(F.lit("["), e["rank"].cast("string"), F.lit("] "), e["snippet"])), "\n").alias("context"))
@@ -38,7 +38,7 @@ def answer_questions(
     go round again with one more model at 0.3 of all weight. What stays disputed has
     the heavier answer and says so.
     """
-    prompts = questions.join(context_of(questions, documents), "question_id", "left").withColumn(
+    prompts = questions.join(cut_lineage(context_of(questions, documents)), "question_id", "left").withColumn(
         "prompt", tx.fill_template("Question: {question}\nContext:\n{context}", {"question": F.col("question_text"), "context": F.col("context")})
     )
     first = cut_lineage(fan_out(prompts, list(weights), "question_id", "prompt"))

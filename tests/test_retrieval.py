@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from concordat.operators import retrieval
+from concordat.operators import pipeline, retrieval
 
 
 def corpus(spark, n_docs=400, n_queries=60):
@@ -36,3 +36,19 @@ def test_scores_of_all_pairs_are_never_rows(spark):
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.lit(False).alias("marked"), F.coalesce(F.split("text", " "), F.array()).alias("words"))
     kept = retrieval._best_of_words(sets, rows, 5, False)
     assert kept.count() <= 5 * sets.count() * kept.rdd.getNumPartitions() < sets.count() * 3000 / 20
+
+
+def test_contexts_are_searched_once(spark):
+    questions, docs = corpus(spark, 200, 20)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    documents = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(counted, "doc_id long, text string")
+    asked = questions.select(F.col("q").alias("question_id"), F.col("t").alias("question_text"))
+    got = pipeline.answer_questions(asked, documents, {"m1": 0.5, "m2": 0.5}, "m3").collect()
+    assert len(got) == questions.count() and {r["rounds"] for r in got} == {1, 2}
+    assert read.value == 2 * 201  # for their words, and for the snippets of the best
