@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from concordat.functions import text as tx
 from concordat.operators.components import connected_components
-from concordat.runtime import cut_lineage
+from concordat.runtime import broadcast_if_small, cut_lineage
 
 
 def plain(text: str | None) -> str:
@@ -36,33 +40,128 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def similar_pairs(texts: DataFrame, keys: list[str], row_id: str, plain_text: str, threshold: float, shared_words: float = 0.7) -> DataFrame:
+def similar_pairs(
+    texts: DataFrame, keys: list[str], row_id: str, plain_text: str, threshold: float, shared_words: float = 0.7, links_only: bool = False, whole: int = 512, block: int = 4096
+) -> DataFrame:
     """``(a, b)``: ids, the smaller first, of plain texts of one group that share words and have a sequence ratio of ``threshold``.
 
-    Two texts whose sets of words have a Jaccard similarity of ``shared_words`` must share one of their rarest
-    words, as many as could be missing and one more; so texts meet by an equi-join on those words within their group, no text meets
-    all others, and no pair above both limits is lost. ``row_id`` must be unique; blank texts have no partner.
+    Groups of at most ``whole`` texts are compared at once. In larger ones two texts whose sets of words have a Jaccard
+    similarity of ``shared_words`` must share one of their rarest words, as many as could be missing and one more; so
+    texts meet at those words within their group, and no pair above both limits is lost. Where more than ``block`` texts
+    meet they do so block by block. Pairs that only meet are never rows: a task counts their shared words in bits and
+    gives those that reach both limits. With ``links_only`` pairs that others already link are left out.
+    ``row_id`` must be unique; blank texts have no partner, nor has a text without a key.
     """
-    words = texts.select(*keys, F.col(row_id).alias("id"), F.explode(F.array_distinct(F.split(plain_text, " "))).alias("word")).where("word <> ''")
+    there = texts.where(F.col(plain_text).isNotNull()).dropna(subset=keys).select(*keys, F.col(row_id).alias("id"), F.col(plain_text).alias("p"))
+    large = cut_lineage(there.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(*keys))
+    large = broadcast_if_small(large, large.count(), 256)
+    unit = lambda *more: F.concat_ws("\x01", *[F.col(k).cast("string") for k in keys], *more)
+    small = there.join(large, keys, "left_anti").select(unit().alias("unit"), F.lit(-1).alias("side"), "id", "p")
+
+    crowded = there.join(large, keys, "left_semi")
+    words = crowded.select(*keys, "id", "p", F.explode(F.array_distinct(F.split("p", " "))).alias("word")).where("word <> ''")
     counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
     # a text is gathered to its own words, no more
-    rare_first = words.join(counts, [*keys, "word"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
+    rare_first = words.drop("p").join(counts, [*keys, "word"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
     size = F.size("words")
     spare = size - F.ceil(F.lit(shared_words) * size - F.lit(1e-9)).cast("int") + 1
-    marks = cut_lineage(rare_first.select(*keys, "id", size.alias("size"), F.explode(F.slice("words", F.lit(1), spare)).alias("m")).select(*keys, "id", "size", "m.word"))
-    other = marks.select(*keys, "word", F.col("id").alias("b"), F.col("size").alias("size_b"))
-    near = (F.col("id") < F.col("b")) & (F.least("size", "size_b") >= F.lit(shared_words - 1e-9) * F.greatest("size", "size_b"))
-    pairs = marks.join(other, [*keys, "word"]).where(near).select(F.col("id").alias("a"), "b").distinct()
-    side = lambda name: texts.select(F.col(row_id).alias(name), F.col(plain_text).alias(f"text_{name}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = met.where(jaccard(F.array_distinct(F.split("text_a", " ")), F.array_distinct(F.split("text_b", " "))) >= shared_words - 1e-9)
-    return alike.where(sequence_ratio("text_a", "text_b") >= threshold).select("a", "b")
+    marks = rare_first.select(*keys, "id", F.explode(F.slice("words", F.lit(1), spare)).alias("m")).where("m.n > 1").select(*keys, "id", "m.word", "m.n")
+    # the word's count bounds how many meet at it
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = marks.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    place = [F.col("word"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")]
+    met = spread.select(unit(*place).alias("unit"), side.alias("side"), "id").join(crowded.select("id", "p"), "id").select("unit", "side", "id", "p")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] | None = {} if links_only else None
+        for sides, ids, plains in _units(batches):
+            pairs = _alike(sides, ids, plains, threshold, shared_words, parent)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+    # comparing takes time that sizes in bytes don't show, so tasks are not joined by them
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = small.unionByName(met).repartition(tasks, "unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """``(sides, ids, texts)`` of the rows of one unit, which follow each other."""
+    name, held = None, ([], [], [])
+    for batch in batches:
+        units, *columns = (c.to_pylist() for c in batch.columns)
+        start = 0
+        while start < len(units):
+            end = bisect.bisect_right(units, units[start], start) if units[-1] != units[start] else len(units)
+            if units[start] != name:
+                if len(held[0]) > 1:
+                    yield held
+                name, held = units[start], ([], [], [])
+            for to, column in zip(held, columns, strict=True):
+                to.extend(column[start:end])
+            start = end
+    if len(held[0]) > 1:
+        yield held
+
+
+def _alike(sides: list, ids: list, plains: list, threshold: float, shared_words: float, parent: dict | None) -> list[tuple[int, int]]:
+    """Pairs of a unit that reach both limits; where two sides meet only pairs across them, with ``parent`` only pairs that link what nothing has linked."""
+    order = sorted((i for i in range(len(ids)) if plains[i].strip(" ")), key=ids.__getitem__)
+    words = [set(plains[i].split(" ")) for i in order]
+    codes: dict[str, int] = {}
+    flat = [codes.setdefault(w, len(codes)) for ws in words for w in ws]
+    n, sizes = len(order), np.array([len(ws) for ws in words], np.int64)
+    if n < 2:
+        return []
+    width = min(-(-len(codes) // 64) * 64, 2048)
+    held = np.zeros((n, width), bool)
+    held[np.repeat(np.arange(n), sizes), np.array(flat) % width] = True
+    bits = np.packbits(held, axis=1).view(np.uint64)
+    lost = sizes - held.sum(1)  # words that share a bit with others: what is counted may lack as many
+    side = np.array([sides[i] for i in order])
+    two = bool((side >= 0).any())
+    found: list[tuple[int, int]] = []
+    clean: dict[int, str] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def form(i: int) -> str:
+        if i not in clean:
+            clean[i] = plain(plains[order[i]])
+        return clean[i]
+
+    for i in range(1, n):
+        both = np.bitwise_count(bits[:i] & bits[i]).sum(1, dtype=np.int64) + np.minimum(lost[:i], lost[i])
+        near = both * (1 + shared_words) >= shared_words * (sizes[:i] + sizes[i]) - 1e-6
+        if two:
+            near &= side[:i] != side[i]
+        at = np.flatnonzero(near)
+        matcher = None
+        for j in at.tolist():
+            a, b = ids[order[j]], ids[order[i]]
+            shared = len(words[i] & words[j])
+            if shared / (sizes[i] + sizes[j] - shared) < shared_words - 1e-9 or (parent is not None and root(a) == root(b)):
+                continue
+            if matcher is None:
+                matcher = difflib.SequenceMatcher(None, "", form(i))
+            matcher.set_seq1(form(j))
+            if form(i) and form(j) and matcher.ratio() >= threshold:
+                found.append((a, b))
+                if parent is not None:
+                    parent[root(b)] = root(a)
+    return found
 
 
 def similar_groups(texts: DataFrame, keys: list[str], plain_text: str, threshold: float) -> DataFrame:
     """``texts`` with ``group``, equal on texts that similar ones link, directly or through others; each distinct row has one."""
     numbered = cut_lineage(texts.withColumn("_id", F.monotonically_increasing_id()))
-    linked = connected_components(similar_pairs(numbered, keys, "_id", plain_text, threshold), "a", "b")
+    linked = connected_components(cut_lineage(similar_pairs(numbered, keys, "_id", plain_text, threshold, links_only=True)), "a", "b")
     return numbered.join(linked.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("group", F.coalesce("component", "_id")).drop("_id", "component")
 
 
