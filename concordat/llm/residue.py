@@ -244,6 +244,19 @@ def _name_numbers(names: list[str]) -> list[np.ndarray]:
     return [np.array(sorted(x), np.int64) for x in by_size]
 
 
+def _numbers_of(known: DataFrame) -> list[np.ndarray]:
+    """The numbers of all known names, however many: eight bytes a name are gathered, the names are not."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, numbers in enumerate(_name_numbers(batch.column(0).to_pylist())):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), size, np.int32)), pa.array(numbers)], ["size", "number"])
+
+    found = known.select("name").mapInArrow(number, "size int, number long").toArrow()
+    sizes, numbers = (found.column(c).to_numpy() for c in ("size", "number"))
+    return [np.unique(numbers[sizes == n]) for n in range(4)]
+
+
 def template_windows(
     documents: DataFrame, names: list[np.ndarray], text: str = "text", min_docs: int = 3, min_share: float = 0.1, page_words: int = 40, surprise: float = 7.0, page_surprise: float = 3.0, inner_share: float = 0.1
 ) -> DataFrame:
@@ -323,7 +336,7 @@ def residue(
     known = cut_lineage(variable_names(texts, "_t", min_docs))
     few_names = known.count() <= most_shared // 20
     habits = {r["name"]: r["habit"] for r in known.collect()} if few_names else None
-    numbers = _name_numbers(sorted(habits)) if habits else []
+    numbers = _numbers_of(known)
     flagged = cut_lineage(template_windows(texts, numbers, "_t", min_docs, min_share, page_words))
     few = flagged.count() <= most_shared
     shared = None
